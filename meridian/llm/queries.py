@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
+from .embedding_dedup import near_duplicate_vectors
 from .line_dedup import drop_recurring_lines
 from .packing import pack
 from .simhash import near_duplicates
@@ -33,6 +34,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), window=35)
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), limit=512)
 
@@ -57,6 +62,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_url_filters": op7_url_filters,
     "op8_best_fit_packing": op8_best_fit_packing,
