@@ -9,10 +9,12 @@ from .decontaminate import contaminated
 from .embedding_dedup import near_duplicate_vectors
 from .line_dedup import drop_recurring_lines
 from .packing import pack
+from .quality_crf import score_quality
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
 from .token_counts import count_tokens
 from .tokens import tokenizer_path
+from .toxicity import score_toxicity
 from .url_filters import filter_urls, site_rule, word_rule
 
 #: The contract's rules, longest first by nature, then words by which the method itself blocks.
@@ -30,6 +32,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7, modulus=3, rest=1)
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3, modulus=5, rest=0)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), window=35)
 
@@ -61,6 +71,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_token_counts": op6_token_counts,

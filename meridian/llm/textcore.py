@@ -47,11 +47,13 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
             at = to
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of all words, and the n+1 offsets of each document's words among them."""
+def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all words, and the n+1 offsets of each document's words among them.
+
+    A word is a maximal run of bytes that aren't white space, or of those that ``inside`` (256 booleans) holds."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~WHITE[data]
+    solid = ~WHITE[data] if inside is None else inside[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     stop = solid.copy()
