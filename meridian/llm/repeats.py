@@ -41,8 +41,7 @@ class Packer:
         order, again, first = _runs(key, extra)
         out: list[tuple] = []
         hit = np.sort(order[again])
-        part = (dk[hit].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(self.parts)
-        for p, own in _split(part, self.parts):
+        for p, own in _split(_bucket(dk[hit], self.parts), self.parts):
             out.append((p, True, b"", b"", b"", dk[hit[own]].tobytes(), _wide(pos[hit[own]])))
         one = np.sort(order[first])  # an entry for each key, in the order of the text
         flag = np.zeros(len(key), bool)
@@ -90,37 +89,60 @@ def _runs(key: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, again, first
 
 
-def _seen_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys, extras, flags, dks, poss, known = [], [], [], [], [], []
-    for batch in batches:
-        for row in batch.to_pylist():
-            dk, pos = np.frombuffer(row["dk"], np.int64), _narrow(row["pos"])
-            if row["known"]:
-                known.append((dk, pos))
-                continue
-            key = np.frombuffer(row["keys"], np.uint64)
-            keys.append(key)
-            extras.append(np.frombuffer(row["extra"], np.uint32))
-            flags.append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(key)).astype(bool))
-            dks.append(dk)
-            poss.append(pos)
-    if keys:
-        key, extra, flag, dk, pos = (np.concatenate(x) for x in (keys, extras, flags, dks, poss))
-        order, again, _ = _runs(key, extra)
-        hit = order[again]
-        hit = hit[~flag[hit]]  # the positions of flagged entries are known already
-        known.append((dk[hit], pos[hit]))
-    if known:
-        dk, pos = (np.concatenate(x) for x in zip(*known, strict=True))
-        order = np.argsort(dk, kind="stable")
-        dk, pos = dk[order], pos[order]
-        cut = np.flatnonzero(np.concatenate([[True], dk[1:] != dk[:-1]])) if len(dk) else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(dk)).astype(np.int32)), pa.array(pos, pa.int32()))
-        whole = pa.RecordBatch.from_arrays([pa.array(dk[cut]), lists], names=["dk", "pos"])
-        for at in range(0, whole.num_rows, 20_000):
-            yield whole.slice(at, 20_000)
+def _bucket(dk: np.ndarray, parts: int) -> np.ndarray:
+    return ((dk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+
+
+def _seen_again(parts: int):
+    """From blocks by key to blocks by document: the positions whose key was seen again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, extras, flags, dks, poss, hits = [], [], [], [], [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                dk, pos = np.frombuffer(row["dk"], np.int64), _narrow(row["pos"])
+                if row["known"]:
+                    hits.append((dk, pos))
+                    continue
+                key = np.frombuffer(row["keys"], np.uint64)
+                keys.append(key)
+                extras.append(np.frombuffer(row["extra"], np.uint32))
+                flags.append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(key)).astype(bool))
+                dks.append(dk)
+                poss.append(pos)
+        if keys:
+            key, extra, flag, dk, pos = (np.concatenate(x) for x in (keys, extras, flags, dks, poss))
+            order, again, _ = _runs(key, extra)
+            hit = np.sort(order[again])
+            hit = hit[~flag[hit]]  # the positions of flagged entries are known already
+            hits.append((dk[hit], pos[hit]))
+        if hits:
+            dk, pos = (np.concatenate(x) for x in zip(*hits, strict=True))
+            out = [(p, dk[own].tobytes(), _wide(pos[own])) for p, own in _split(_bucket(dk, parts), parts)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "dk", "pos"])
+
+    return run
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(np.frombuffer(row["dk"], np.int64), _narrow(row["pos"])) for batch in batches for row in batch.to_pylist()]
+    if not held:
+        return
+    dk, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(dk, kind="stable")
+    dk, pos = dk[order], pos[order]
+    cut = np.flatnonzero(np.concatenate([[True], dk[1:] != dk[:-1]]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(dk)).astype(np.int32)), pa.array(pos, pa.int32()))
+    whole = pa.RecordBatch.from_arrays([pa.array(dk[cut]), lists], names=["dk", "pos"])
+    for at in range(0, whole.num_rows, 5_000):
+        yield whole.slice(at, 5_000)
 
 
 def positions_seen_again(blocks: DataFrame, parts: int) -> DataFrame:
-    """(dk long, pos array<int>), possibly several rows a document, from blocks of BLOCK_SCHEMA made by Packer(parts)."""
-    return blocks.repartitionById(parts, "part").mapInArrow(_seen_again, "dk long, pos array<int>")
+    """(dk long, pos array<int>), one row for each document that has any, from blocks of BLOCK_SCHEMA made by Packer(parts).
+
+    Positions travel back in blocks too: a partition sends one block to each partition of documents.
+    """
+    seen = blocks.repartitionById(parts, "part").mapInArrow(_seen_again(parts), "part int, dk binary, pos binary")
+    return seen.repartitionById(parts, "part").mapInArrow(_by_document, "dk long, pos array<int>")

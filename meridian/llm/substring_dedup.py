@@ -84,12 +84,9 @@ def _windows(window: int, parts: int):
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and value of every entry of an array<array<int>> column."""
-    rows = column.value_lengths().to_numpy(zero_copy_only=False)
-    inner = column.flatten()
-    lengths = inner.value_lengths().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.repeat(np.arange(len(rows)), rows), lengths)
-    return row, inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    """Row number and value of every entry of an array<int> column."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), lengths), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _cover(window: int, with_text: bool):
@@ -137,10 +134,10 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     judged = info.join(copies, "sha", "left")
     anchors = positions_seen_again(text.mapInArrow(_anchors(window, parts), BLOCK_SCHEMA), parts)
     spare = judged.where("kept_dk is not null and kept_dk <> dk").select("dk")
-    near = anchors.groupBy("dk").agg(F.collect_list("pos").alias("pos")).join(spare, "dk", "left_anti")
+    near = anchors.join(spare, "dk", "left_anti")
     dealt = text.repartition(parts, "dk")  # shuffled once, read by both rounds
     second = dealt.join(near.hint("shuffle_merge"), "dk").select("dk", "text", "pos").mapInArrow(_windows(window, parts), BLOCK_SCHEMA)
-    again = positions_seen_again(second, parts).groupBy("dk").agg(F.collect_list("pos").alias("pos"))
+    again = positions_seen_again(second, parts)
     cols = "dk long, n_removed long, kept_sha binary" + (", kept_text string" if with_text else "")
     found = dealt.join(again.hint("shuffle_merge"), "dk").select("dk", "text", "pos").mapInArrow(_cover(window, with_text), cols)
     out = judged.join(found, "dk", "left")
