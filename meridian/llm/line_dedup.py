@@ -21,26 +21,33 @@ from .scratch import Scratch, stable
 FIELD = "<*>"
 #: A position is variable if no token holds this share of the leaf's lines.
 FIXED_SHARE = 0.9
+#: Leaves (8 bytes each) that are broadcast at most; more of them join by shuffle.
+BROADCAST_LEAVES = 1_000_000
 
 
-def _masked(line: Column) -> Column:
-    """Tokens by single spaces, those with a digit generalised."""
-    flat = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(flat)
+def _masked(text: Column) -> Column:
+    """Lines of tokens by single spaces, those with a digit generalised; one pass over the whole text."""
+    flat = F.translate(text, "\t\r\u000b\f", "    ")
+    flat = F.when(flat.contains("  "), F.regexp_replace(flat, "  +", " ")).otherwise(flat)
+    return F.regexp_replace(flat, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
 
 
 def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.6, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
     """(dk, i): the lines to drop of ``docs(dk, text)``; i counts from 0."""
-    lines = docs.select("dk", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("dk", "i", _masked(F.col("line")).alias("form"))
+    # masked before the lines are taken apart, so that the pattern runs once
+    lines = docs.select("dk", _masked(F.col("text")).alias("masked")).select("dk", F.posexplode(F.split("masked", "\n")).alias("i", "line")).select("dk", "i", F.trim("line").alias("form"))
     lines = lines.withColumn("size", F.length("form") - F.length(F.translate("form", " ", "")) + 1).where(f"form <> '' and size >= {int(min_tokens)}")
     leaf = F.xxhash64("size", F.substring_index("form", " ", depth))
-    digests = scratch.write(lines.select("dk", "i", leaf.alias("leaf"), F.xxhash64("form", "size").alias("tmpl")), "lines")
+    lines = scratch.write(lines.select("dk", "i", leaf.alias("leaf"), F.xxhash64("form", "size").alias("tmpl"), "form"), "lines")
+    digests = lines.select("dk", "i", "leaf", "tmpl")
     # documents by (leaf, form), then by leaf
     forms = digests.groupBy("leaf", "tmpl").agg(F.count("*").alias("n"), F.min("dk").alias("lo"), F.max("dk").alias("hi"))
     wide = forms.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("forms"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     wide = wide.where(f"forms > 1 and n >= {int(min_docs)} and lo <> hi").select("leaf")
+    wide = scratch.write(wide, "wide")
+    wide = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
     # one line of each form of such a leaf, weighed by its count: which positions vary?
-    spread = lines.select(leaf.alias("leaf"), F.xxhash64("form", "size").alias("tmpl"), "form").join(wide, "leaf", "left_semi").groupBy("leaf", "tmpl").agg(F.first("form").alias("form"))
+    spread = lines.select("leaf", "tmpl", "form").join(wide, "leaf", "left_semi").groupBy("leaf", "tmpl").agg(F.first("form").alias("form"))
     spread = scratch.write(spread.join(forms.select("leaf", "tmpl", "n"), ["leaf", "tmpl"]), "spread")
     words = spread.select("leaf", "n", F.posexplode(F.split("form", " ")).alias("p", "w"))
     share = words.groupBy("leaf", "p", "w").agg(F.sum("n").alias("n")).groupBy("leaf", "p").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
@@ -72,7 +79,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) ->
     """
     scratch = Scratch(docs.sparkSession)
     docs = stable(docs, scratch)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("dk", F.monotonically_increasing_id())
+    packed = docs.select(F.struct(F.lit(0).alias(text_col), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("dk", F.monotonically_increasing_id())
     gone = scratch.write(tag_lines(packed.where("text is not null").select("dk", "text"), scratch, **options), "gone").groupBy("dk").agg(F.collect_list("i").alias("gone"))
     out = packed.join(gone, "dk", "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
