@@ -81,7 +81,7 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) ->
     docs = stable(docs, scratch)
     packed = docs.select(F.struct(F.lit(0).alias(text_col), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("dk", F.monotonically_increasing_id())
     gone = scratch.write(tag_lines(packed.where("text is not null").select("dk", "text"), scratch, **options), "gone").groupBy("dk").agg(F.collect_list("i").alias("gone"))
-    out = packed.join(gone, "dk", "left")
+    out = packed.join(gone.hint("shuffle_merge"), "dk", "left")  # alike at every size: texts are shuffled once
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     names = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
