@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import load
+from ..functions import geometry as g
+from ..functions import text
+from ..operators import allocate, graph, kernels, load, spatial
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +53,321 @@ def worst_load_window(spark, d):
     hours = hourly_load(spark, d)
     capacity = hours.agg(F.expr("percentile(n, 0.65)").alias("capacity"))
     return load.max_subarray(hours.crossJoin(F.broadcast(capacity)), "hour", F.col("n") - F.col("capacity")).select(F.round("best", 6).alias("excess"))
+
+
+# --- allocation and ranking ---------------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT min(p_size) x0, max(p_size) x1, min(p_retailprice) y0, max(p_retailprice) y1 FROM part)
+SELECT ((least(3, 1 + floor(3 * (p_retailprice - y0) / (y1 - y0 + 1e-9))) - 1) * 3 + least(3, 1 + floor(3 * (p_size - x0) / (x1 - x0 + 1e-9))))::BIGINT AS zone,
+count(*) AS parts, sum(p_size)::BIGINT AS demand FROM part, b GROUP BY 1""")
+def zone_demand(spark, d):
+    part = table(spark, d, "part")
+    b = part.agg(F.min("p_size").alias("x0"), F.max("p_size").alias("x1"), F.min("p_retailprice").alias("y0"), F.max("p_retailprice").alias("y1"))
+    zone = g.grid_zone(F.col("p_size"), F.col("p_retailprice"), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1")).cast("long")
+    return part.crossJoin(F.broadcast(b)).groupBy(zone.alias("zone")).agg(F.count("*").alias("parts"), F.sum("p_size").alias("demand"))
+
+
+@query("""WITH c AS (SELECT 0.4::DOUBLE * sum(p_size) AS cap FROM part),
+r AS (SELECT p_retailprice v, p_size w, coalesce(sum(p_size) OVER (ORDER BY p_retailprice / p_size DESC, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM part WHERE p_size > 0)
+SELECT round(sum(v * least(1, greatest(0, (cap - before) / w))), 2) AS total FROM r, c""")
+def fractional_supply(spark, d):
+    part = table(spark, d, "part")
+    room = F.broadcast(part.agg((F.sum("p_size") * F.lit(0.4)).alias("room")))
+    filled = allocate.fractional_knapsack(part.crossJoin(room), "p_partkey", "p_retailprice", "p_size", F.col("room"))
+    return filled.agg(F.round(F.sum(F.col("p_retailprice") * F.col("fraction")), 2).alias("total"))
+
+
+_ITEMS = "SELECT (p_partkey)::INT AS id, p_size AS w, (p_retailprice / 10)::INT AS v FROM part ORDER BY p_partkey LIMIT 12"
+
+
+@query(f"""WITH items AS ({_ITEMS}), n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, w, v FROM items)
+SELECT max(sv)::DOUBLE AS value FROM (SELECT m, coalesce(sum(w), 0) sw, coalesce(sum(v), 0) sv FROM (SELECT range m FROM range(0, 4096)) LEFT JOIN n ON (m >> i) & 1 = 1 GROUP BY m) WHERE sw <= 100""")
+def upgrade_knapsack(spark, d):
+    items = table(spark, d, "part").orderBy("p_partkey").limit(12).select(F.lit(1).alias("instance"), F.col("p_partkey").alias("id"), F.col("p_size").alias("w"), F.round(F.col("p_retailprice") / 10).cast("int").alias("v"))
+
+    def kernel(pdf):
+        pdf = pdf.sort_values("id")
+        return {"value": kernels.knapsack01(pdf["w"].tolist(), pdf["v"].tolist(), 100)[0]}
+
+    return kernels.solve(items, "instance", kernel, "value double").select("value")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 1000 + l_linenumber AS urgency FROM lineitem ORDER BY urgency DESC, l_orderkey, l_partkey, l_suppkey, l_extendedprice LIMIT 25")
+def urgent_topk(spark, d):
+    li = table(spark, d, "lineitem").withColumn("key", F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return allocate.urgent_first(li, "key", "l_quantity", "l_linenumber", 25).select("l_orderkey", "l_linenumber", "l_partkey", "urgency")
+
+
+# --- text ----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, len(list_filter(range(1, greatest(1, length(text) - 1)), lambda i: substr(text, i, 3) = 'the'))::INT AS hits
+FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+def keyword_hits(spark, d):
+    return table(spark, d, "documents").where("lang = 'en' and text is not null").select("doc_id", text.overlapping_count(F.col("text"), "the").alias("hits"))
+
+
+@query("""SELECT item_id, unnest(list_filter(range(1, greatest(1, length(text) - 1)), lambda i: substr(text, i, 3) = 'tht'))::INT AS start FROM benchmark WHERE text IS NOT NULL""")
+def keyword_positions(spark, d):
+    return table(spark, d, "benchmark").where("text is not null").select("item_id", F.explode(text.overlapping_positions("tht")("text")).alias("start"))
+
+
+@query("""SELECT doc_id, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '' AND NOT regexp_full_match(t, 'inc[0-9]+')))::INT AS tokens FROM documents WHERE lang = 'en' AND text IS NOT NULL""")
+def report_tokens(spark, d):
+    return table(spark, d, "documents").where("lang = 'en' and text is not null").select("doc_id", F.size(text.strip_report_ids(text.report_tokens(F.col("text")))).alias("tokens"))
+
+
+@query()
+def lcs_similarity(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", text.report_tokens(F.col("text")).alias("t"))
+    pairs = b.select(F.col("item_id").alias("a"), F.col("t").alias("ta")).join(b.select(F.col("item_id").alias("b"), F.col("t").alias("tb")), F.col("b") == F.col("a") + 1)
+    return pairs.select("a", "b", F.round(text.similarity(F.col("ta"), F.col("tb")), 6).alias("similarity"))
+
+
+# --- graph -----------------------------------------------------------------------------------------------------------
+
+_ADJ = """
+WITH l AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS dst, l_quantity FROM lineitem),
+e AS (SELECT src, dst, min(l_quantity) AS w FROM l WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL)
+"""
+
+
+def part_edges(spark, d):
+    """Consecutive parts of an order, with the least quantity as weight."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_quantity")
+    return rows.where("dst is not null and src <> dst").groupBy("src", "dst").agg(F.min("l_quantity").alias("w"))
+
+
+@query(_ADJ + "SELECT src, count(*) AS degree FROM e GROUP BY src")
+def out_degree(spark, d):
+    return graph.out_degree(part_edges(spark, d))
+
+
+@query(_ADJ + "SELECT dst AS src, src AS dst, w FROM e")
+def reversed_edges(spark, d):
+    return graph.reverse(part_edges(spark, d)).select("src", "dst", "w")
+
+
+@query(_ADJ + "SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e")
+def undirected_links(spark, d):
+    return graph.undirected(part_edges(spark, d))
+
+
+@query(_ADJ + "SELECT src, dst, w FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND dst IN (SELECT p_partkey FROM part WHERE p_size <= 10)")
+def induced_subgraph(spark, d):
+    return graph.induced(part_edges(spark, d), table(spark, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id"))).select("src", "dst", "w")
+
+
+def _sssp(limit: str = "") -> str:
+    return _ADJ.replace("WITH l", "WITH RECURSIVE l").rstrip() + f""", r(v, c) USING KEY (v) AS (SELECT DISTINCT src, 0::DOUBLE FROM e WHERE src = (SELECT min(src) FROM e)
+UNION SELECT e.dst, min(r.c + e.w) FROM r JOIN e ON e.src = r.v LEFT JOIN recurring.r o ON o.v = e.dst WHERE (o.c IS NULL OR r.c + e.w < o.c) {limit} GROUP BY e.dst)
+SELECT v AS node, c AS dist FROM r"""
+
+
+@query(_sssp())
+def nearest_facility(spark, d):
+    e = part_edges(spark, d).cache()
+    return graph.shortest_paths(e, e.agg(F.min("src").alias("id"))).select("node", "dist")
+
+
+@query(_sssp("AND r.c + e.w <= 5"))
+def reachable_within(spark, d):
+    e = part_edges(spark, d).cache()
+    return graph.shortest_paths(e, e.agg(F.min("src").alias("id")), limit=5.0).select("node", "dist")
+
+
+@query(_ADJ.replace("WITH l", "WITH RECURSIVE l").rstrip() + """, s AS (SELECT src, dst FROM e WHERE w <= 2 UNION SELECT dst, src FROM e WHERE w <= 2),
+r(v, c) USING KEY (v) AS (SELECT DISTINCT src, src FROM s UNION SELECT s.dst, min(r.c) FROM r JOIN s ON s.src = r.v LEFT JOIN recurring.r o ON o.v = s.dst WHERE r.c < o.c GROUP BY s.dst)
+SELECT v AS node, c AS component FROM r""")
+def connected_parts(spark, d):
+    return graph.components(part_edges(spark, d).where("w <= 2"))
+
+
+# --- solvers -----------------------------------------------------------------------------------------------------------
+
+_TRADE = """
+WITH trade AS (SELECT c_nationkey a, s_nationkey b, sum(l_quantity) AS cap FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)
+"""
+
+
+def trade(spark, d):
+    t = lambda n: table(spark, d, n)
+    joined = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    return joined.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.sum("l_quantity").alias("cap"))
+
+
+def _solved(df, kernel, schema):
+    return kernels.solve(df.withColumn("instance", F.lit(1)), "instance", kernel, schema).drop("instance")
+
+
+@query(_TRADE + """, e AS (SELECT a, b, cap FROM trade WHERE a < 5 AND b BETWEEN 5 AND 9),
+sup AS (SELECT a, sum(cap) * 0.6 AS s FROM e GROUP BY a), dem AS (SELECT b, sum(cap) * 0.7 AS d FROM e GROUP BY b), m AS (SELECT range AS m FROM range(0, 1024))
+SELECT round(min(coalesce((SELECT sum(s) FROM sup WHERE (m.m >> a) & 1 = 0), 0) + coalesce((SELECT sum(d) FROM dem WHERE (m.m >> b) & 1 = 1), 0)
+ + coalesce((SELECT sum(cap) FROM e WHERE (m.m >> a) & 1 = 1 AND (m.m >> b) & 1 = 0), 0)), 4)::DOUBLE AS flow FROM m""")
+def evacuation_flow_value(spark, d):
+    def kernel(pdf):
+        roads = list(zip(pdf["a"], pdf["b"], pdf["cap"], strict=True))
+        people, room = (pdf["cap"].groupby(pdf["a"]).sum() * 0.6).to_dict(), (pdf["cap"].groupby(pdf["b"]).sum() * 0.7).to_dict()
+        edges, s, t = kernels.evacuation_edges(roads, sorted(people), people, room, 1)
+        return {"flow": round(kernels.max_flow(edges, s, t)[0], 4)}
+
+    return _solved(trade(spark, d).where("a < 5 and b between 5 and 9"), kernel, "flow double")
+
+
+_SPARSE = _TRADE + ", thr AS (SELECT quantile_cont(cap, {q}::DOUBLE) AS t FROM trade), "
+
+
+def _sparse(spark, d, q, n):
+    every = trade(spark, d)
+    return every.crossJoin(F.broadcast(every.agg(F.expr(f"percentile(cap, {q})").alias("t")))).where(f"cap > t and a < {n} and b < {n}").select("a", "b")
+
+
+@query(_SPARSE.format(q=0.8) + """e AS (SELECT a, b FROM trade, thr WHERE cap > t AND a < 10 AND b < 10), m AS (SELECT range AS m FROM range(0, 1024))
+SELECT (SELECT count(DISTINCT a) FROM e) - max(bit_count(m.m) - coalesce(n, 0))::INT AS size FROM m LEFT JOIN (SELECT m.m, count(DISTINCT b) AS n FROM m JOIN e ON (m.m >> a) & 1 = 1 GROUP BY m.m) x ON x.m = m.m
+WHERE m.m & (SELECT coalesce(sum(DISTINCT 1 << a), 0)::BIGINT FROM e) = m.m""")
+def matching_size(spark, d):
+    return _solved(_sparse(spark, d, 0.8, 10), lambda pdf: {"size": len(kernels.bipartite_matching(list(zip(pdf["a"], pdf["b"], strict=True))))}, "size long")
+
+
+_LINKS = _SPARSE + "e AS (SELECT DISTINCT least(a, b)::INT u, greatest(a, b)::INT v FROM trade, thr WHERE cap > t AND a < {n} AND b < {n} AND a <> b), "
+
+
+def _links(spark, d, q, n):
+    return graph.undirected(_sparse(spark, d, q, n).toDF("src", "dst"))
+
+
+@query(_LINKS.format(q=0.6, n=12) + "m AS (SELECT range AS m FROM range(1, 2048)) SELECT min(c)::BIGINT AS cut FROM (SELECT m, sum(CASE WHEN (m >> u) & 1 <> (m >> v) & 1 THEN 1 ELSE 0 END) c FROM m, e GROUP BY m)")
+def weakest_link(spark, d):
+    """Random contraction trials over the links, which ride with each trial as an array."""
+    links = _links(spark, d, 0.6, 12).agg(F.sort_array(F.collect_list(F.array("u", "v"))).alias("links"))
+
+    def trials(batches):
+        for pdf in batches:
+            links = [tuple(x) for x in pdf["links"].iloc[0]] if len(pdf) else []
+            yield pdf.assign(cut=[kernels.contract_once(list(range(12)), links, int(s))[0] for s in pdf["id"]])[["id", "cut"]]
+
+    return spark.range(400).crossJoin(F.broadcast(links)).mapInPandas(trials, "id long, cut long").agg(F.min("cut").alias("cut"))
+
+
+@query(_LINKS.format(q=0.6, n=10) + "m AS (SELECT range AS m FROM range(0, 1024)) SELECT min(bit_count(m))::BIGINT AS size FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE (m >> u) & 1 = 0 AND (m >> v) & 1 = 0)")
+def sensor_cover(spark, d):
+    return _solved(_links(spark, d, 0.6, 10), lambda pdf: {"size": len(kernels.vertex_cover(list(zip(pdf["u"], pdf["v"], strict=True)))[0])}, "size long")
+
+
+@query()
+def sensor_cover_approx(spark, d):
+    return _solved(_links(spark, d, 0.6, 10), lambda pdf: {"size": len(kernels.vertex_cover_approx(sorted(zip(pdf["u"], pdf["v"], strict=True))))}, "size long")
+
+
+_SETS = _SPARSE.format(q=0.7) + "e AS (SELECT a::INT a, b::INT b FROM trade, thr WHERE cap > t AND a < 10 AND b < 10), "
+
+
+@query(_SETS + "m AS (SELECT range AS m FROM range(0, 1024)) SELECT min(bit_count(m.m))::BIGINT AS size FROM m JOIN (SELECT m.m, count(DISTINCT b) n FROM m JOIN e ON (m.m >> a) & 1 = 1 GROUP BY m.m) x ON x.m = m.m WHERE n = (SELECT count(DISTINCT b) FROM e)")
+def station_cover(spark, d):
+    def kernel(pdf):
+        sets = {k: set(v) for k, v in pdf.groupby("a")["b"]}
+        return {"size": len(kernels.set_cover(sets, set(pdf["b"]))[0])}
+
+    return _solved(_sparse(spark, d, 0.7, 10), kernel, "size long")
+
+
+@query()
+def station_cover_greedy(spark, d):
+    def kernel(pdf):
+        chosen, done = kernels.set_cover_greedy({k: set(v) for k, v in pdf.groupby("a")["b"]}, set(pdf["b"]))
+        return {"size": len(chosen), "covered_all": done}
+
+    return _solved(_sparse(spark, d, 0.7, 10), kernel, "size long, covered_all boolean")
+
+
+def _sites(spark, d, n):
+    return table(spark, d, "embeddings").orderBy("vec_id").limit(n).select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+def _distances(pdf):
+    import numpy as np
+
+    x = np.array(pdf.sort_values("vec_id")["x"].tolist())
+    return np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 6).tolist()
+
+
+_DIST = """s AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS x FROM embeddings ORDER BY vec_id LIMIT {n}),
+d AS (SELECT p.i AS i, q.i AS j, round(sqrt(list_sum(list_transform(range(1, len(p.x) + 1), lambda k: (p.x[k] - q.x[k]) * (p.x[k] - q.x[k])))), 6) AS w FROM s p, s q WHERE p.i <> q.i)"""
+
+
+@query("WITH RECURSIVE " + _DIST.format(n=8) + """, t(last, mask, cost, n) AS (SELECT 0::BIGINT, 1::BIGINT, 0::DOUBLE, 1 UNION ALL SELECT d.j, t.mask | (1::BIGINT << d.j), t.cost + d.w, t.n + 1 FROM t JOIN d ON d.i = t.last WHERE (t.mask >> d.j) & 1 = 0)
+SELECT round(min(t.cost + d.w), 5) AS cost FROM t JOIN d ON d.i = t.last AND d.j = 0 WHERE t.n = 8""")
+def inspection_tour(spark, d):
+    return _solved(_sites(spark, d, 8), lambda pdf: {"cost": round(kernels.tour(_distances(pdf))["cost"], 5)}, "cost double")
+
+
+@query()
+def inspection_tour_approx(spark, d):
+    def kernel(pdf):
+        dist = _distances(pdf)
+        return {"tree": round(kernels.spanning_tree(dist)[0], 5), "cost": round(kernels.tour_approx(dist)[0], 5)}
+
+    return _solved(_sites(spark, d, 20), kernel, "tree double, cost double")
+
+
+# --- geometry ------------------------------------------------------------------------------------------------------------
+
+_PTS = "WITH p AS (SELECT DISTINCT p_brand g, p_size::DOUBLE x, p_retailprice y FROM part), "
+
+
+@query(_PTS + """c AS (SELECT a.g, a.x, a.y FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.g = a.g AND (b.x <> a.x OR b.y <> a.y) AND NOT EXISTS (
+SELECT 1 FROM p r WHERE r.g = a.g AND ((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) < -1e-9
+ OR (abs((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x)) <= 1e-9 AND (r.x - a.x) * (b.x - a.x) + (r.y - a.y) * (b.y - a.y) < 0)))))
+SELECT g AS p_brand, x, y FROM c""")
+def hull_vertices(spark, d):
+    return spatial.convex_hulls(table(spark, d, "part"), "p_brand", "p_partkey", "p_size", "p_retailprice").select("p_brand", "x", "y")
+
+
+@query()
+def hull_area(spark, d):
+    rings = spatial.convex_hulls(table(spark, d, "part"), "p_brand", "p_partkey", "p_size", "p_retailprice")
+    return spatial.polygon_area(rings, "p_brand").withColumn("area", F.round("area", 4))
+
+
+_SEG = """WITH o AS (SELECT event_id, user_id, date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600.0::DOUBLE AS x, value AS y, ts FROM events WHERE user_id < 6),
+s AS (SELECT event_id AS id, user_id AS g, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), seg AS (SELECT * FROM s WHERE x2 IS NOT NULL)
+"""
+
+
+def event_segments(spark, d):
+    hours = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01', ts)") / F.lit(3600.0)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").where("user_id < 6").select(F.col("event_id").alias("id"), F.col("user_id").alias("g"), hours.alias("x1"), F.col("value").alias("y1"), "ts", "event_id", "user_id")
+    return rows.select("id", "g", "x1", "y1", F.lead("x1").over(w).alias("x2"), F.lead("y1").over(w).alias("y2")).where("x2 is not null")
+
+
+@query(_SEG + """, q AS (SELECT a.id a, b.id b, a.x1 ax, a.y1 ay, a.x2 bx, a.y2 b_y, b.x1 cx, b.y1 cy, b.x2 dx, b.y2 dy FROM seg a JOIN seg b ON a.id < b.id AND a.g <> b.g),
+z AS (SELECT a, b, (bx-ax)*(cy-ay)-(b_y-ay)*(cx-ax) o1, (bx-ax)*(dy-ay)-(b_y-ay)*(dx-ax) o2, (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) o3, (dx-cx)*(b_y-cy)-(dy-cy)*(bx-cx) o4 FROM q)
+SELECT a, b FROM z WHERE sign(o1) <> sign(o2) AND sign(o3) <> sign(o4)""")
+def segment_crossings(spark, d):
+    return spatial.crossings(event_segments(spark, d), 24.0).select("a", "b")
+
+
+@query(_SEG + "SELECT id, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 5) AS length FROM seg")
+def segment_lengths(spark, d):
+    return event_segments(spark, d).select("id", F.round(g.segment_length(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 5).alias("length"))
+
+
+@query("""SELECT c_custkey, arg_min(s_suppkey, (abs(c_acctbal - s_acctbal), s_suppkey)) AS nearest FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey""")
+def nearest_1nn(spark, d):
+    pairs = table(spark, d, "customer").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("c_nationkey"))
+    return pairs.groupBy("c_custkey").agg(F.min_by("s_suppkey", F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey")).alias("nearest"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, value, ts, event_type = 'purchase' AS brk, abs(value - lag(value) OVER w) AS len FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, coalesce(sum(brk::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM e)
+SELECT user_id, stretch::BIGINT AS stretch, round(sum(coalesce(len, 0)), 4) AS length, count(*) AS vertices FROM b GROUP BY ALL""")
+def road_contraction(spark, d):
+    """Stretches between breaks: segment lengths by lag, breaks counted before each row, one row for each stretch."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, d, "events").withColumn("len", F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0)))
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    cut = rows.withColumn("stretch", F.coalesce(F.sum((F.col("event_type") == "purchase").cast("int")).over(past), F.lit(0)).cast("long"))
+    return cut.groupBy("user_id", "stretch").agg(F.round(F.sum("len"), 4).alias("length"), F.count("*").alias("vertices"))
