@@ -120,10 +120,9 @@ def forward_backward(score: np.ndarray, loff: np.ndarray, moves: np.ndarray) ->
 
 def fit_field(x: np.ndarray, loff: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.08, l2: float = 2e-3) -> Field:
     """Gradient ascent (Adam) on the mean log likelihood of chains whose lines all carry the document's label."""
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    field = Field(np.zeros(x.shape[1] + 1), np.zeros((2, 2)), mean, scale)
     if not len(y):
-        return field
+        return Field(np.zeros(x.shape[1] + 1), np.zeros((2, 2)), np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.concatenate([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))], axis=1)
     good = np.repeat(y, np.diff(loff))
     # chains weigh alike whatever their length, else a few very long documents decide
