@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,110 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
             return after.select("node", "component")
         label = after.select("node", "component")
     raise RuntimeError("components did not settle")
+
+
+def closure(edges: DataFrame, nodes: DataFrame | None = None, limit: float | None = None, max_rounds: int = 1000) -> DataFrame:
+    """(source, node, dist): shortest paths from every source in nodes(id), or from all ends of edges, in common rounds."""
+    edges = _settled(edges.groupBy("src", "dst").agg(F.min("w").cast("double").alias("w")))
+    if nodes is None:
+        nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
+    known = _settled(nodes.select(F.col("id").alias("source"), F.col("id").alias("node")).distinct().withColumn("dist", F.lit(0.0)))
+    front = known
+    for _ in range(max_rounds):
+        step = front.join(edges, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+        if limit is not None:
+            step = step.where(F.col("dist") <= limit)
+        old = known.select("source", "node", F.col("dist").alias("old"))
+        front = _settled(step.join(old, ["source", "node"], "left").where("old is null or dist < old").drop("old"))
+        if front.isEmpty():
+            return known
+        known = _settled(known.join(front.select("source", "node"), ["source", "node"], "left_anti").unionByName(front))
+    raise RuntimeError("the closure did not settle")
+
+
+def metric_closure(edges: DataFrame) -> DataFrame:
+    """(a, b, dist): the mean of both directions for every ordered pair that reach each other; other pairs have no row."""
+    d = _settled(closure(edges))
+    back = d.select(F.col("node").alias("source"), F.col("source").alias("node"), F.col("dist").alias("back"))
+    return d.join(back, ["source", "node"]).select(F.col("source").alias("a"), F.col("node").alias("b"), ((F.col("dist") + F.col("back")) / 2).alias("dist"))
+
+
+def bfs_subgraph(edges: DataFrame, root, k: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes(rank, id), edges(src, dst, w) in ranks): the first k nodes in breadth-first order, neighbours by id.
+
+    A level is cut to the places still free before it is numbered, so the numbering sees at most k rows.
+    """
+    edges = _settled(edges)
+    seen = _settled(edges.sparkSession.range(1).select(F.lit(1).alias("rank"), F.lit(root).cast(edges.schema["src"].dataType).alias("id")))
+    front, count = seen, 1
+    while count < k:
+        near = front.join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("rank").alias("by")).join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        level = near.orderBy("by", "dst").limit(k - count)
+        front = _settled(level.select((F.row_number().over(Window.orderBy("by", "dst")) + count).alias("rank"), F.col("dst").alias("id")))
+        found = front.count()
+        if not found:
+            break
+        seen, count = _settled(seen.union(front)), count + found
+    ends = lambda name, rank: seen.select(F.col("id").alias(name), F.col("rank").alias(rank))
+    inner = edges.join(ends("src", "u"), "src").join(ends("dst", "v"), "dst").select(F.col("u").alias("src"), F.col("v").alias("dst"), "w")
+    return seen, inner
+
+
+def strong_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(node, component): the smallest node of each node's strongly connected component.
+
+    Each pass labels a node with the smallest node that reaches it; what leads back to that node within the label is one
+    component and leaves the graph. Nodes without a way in or out are components of their own and leave first.
+    """
+    ends = edges.select("src", "dst")
+    nodes = _settled(ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct())
+    rest = _settled(ends.where("src <> dst").distinct())
+    done = None
+    for _ in range(max_rounds):
+        through = _settled(rest.select(F.col("src").alias("node")).intersect(rest.select("dst")))
+        single = nodes.join(through, "node", "left_anti")
+        if single.isEmpty():
+            label = _settled(nodes.withColumn("label", F.col("node")))
+            while True:
+                low = rest.join(label, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("label").alias("low"))
+                after = _settled(label.join(low, F.col("node") == F.col("dst"), "left").select("node", F.least("label", F.coalesce("low", "label")).alias("label"), F.col("label").alias("was")))
+                label = after.select("node", "label")
+                if after.where("label <> was").isEmpty():
+                    break
+            inside = rest.join(label.toDF("src", "label"), "src").join(label.toDF("dst", "other"), "dst").where("label = other").select("src", "dst", "label")
+            inside = _settled(inside)
+            found = front = _settled(label.where("node = label"))
+            while True:
+                back = inside.join(front.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "label").distinct()
+                front = _settled(back.join(found.select("node"), "node", "left_anti"))
+                if front.isEmpty():
+                    break
+                found = _settled(found.union(front))
+            gone = found.select("node", F.col("label").alias("component"))
+        else:
+            gone = single.select("node", F.col("node").alias("component"))
+        gone = _settled(gone)
+        done = gone if done is None else _settled(done.union(gone))
+        nodes = _settled(nodes.join(gone, "node", "left_anti"))
+        if nodes.isEmpty():
+            return done
+        rest = _settled(rest.join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"))
+    raise RuntimeError("strong components did not settle")
+
+
+def largest_component(components: DataFrame) -> DataFrame:
+    """The nodes of the largest component, the smallest label on ties."""
+    top = components.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
+    return components.join(F.broadcast(top.select("component")), "component", "left_semi").select("node")
+
+
+def path_to(known: DataFrame, node) -> list:
+    """Nodes from the origin to ``node`` by the parents of shortest_paths; empty if it was not reached."""
+    out = []
+    while node is not None:
+        row = known.where(F.col("node") == F.lit(node)).select("parent").first()
+        if row is None:
+            return []
+        out.append(node)
+        node = row["parent"]
+    return out[::-1]

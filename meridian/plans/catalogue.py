@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text
-from ..operators import allocate, graph, kernels, load, spatial
+from ..operators import allocate, graph, kernels, load, reports, spatial, summary
+from ..sources import roads
 from ..sources.tables import table
+from ..streaming import load as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -371,3 +373,98 @@ def road_contraction(spark, d):
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     cut = rows.withColumn("stretch", F.coalesce(F.sum((F.col("event_type") == "purchase").cast("int")).over(past), F.lit(0)).cast("long"))
     return cut.groupBy("user_id", "stretch").agg(F.round(F.sum("len"), 4).alias("length"), F.count("*").alias("vertices"))
+
+
+# --- sources, ranges, reports and further graphs ----------------------------------------------------------------------
+
+_NATIONS = _SPARSE.format(q=0.8).replace("WITH trade", "WITH RECURSIVE trade") + "e AS (SELECT a AS src, b AS dst, cap AS w FROM trade, thr WHERE cap > t), "
+
+
+def _nation_edges(spark, d):
+    every = trade(spark, d)
+    return every.crossJoin(F.broadcast(every.agg(F.expr("percentile(cap, 0.8)").alias("t")))).where("cap > t").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("cap").alias("w"))
+
+
+_REACH = "r(u, v) AS (SELECT src, src FROM e UNION SELECT dst, dst FROM e UNION SELECT r.u, e.dst FROM r JOIN e ON e.src = r.v), c AS (SELECT p.u AS node, min(p.v) AS component FROM r p JOIN r q ON q.u = p.v AND q.v = p.u GROUP BY p.u) "
+
+
+@query(_NATIONS + _REACH + "SELECT node, component FROM c")
+def strong_components(spark, d):
+    return graph.strong_components(_nation_edges(spark, d))
+
+
+@query(_NATIONS + _REACH + "SELECT node FROM c WHERE component = (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)")
+def largest_strong_component(spark, d):
+    return graph.largest_component(graph.strong_components(_nation_edges(spark, d)))
+
+
+@query(_NATIONS + """r(s, v, c) USING KEY (s, v) AS (SELECT DISTINCT src, src, 0::DOUBLE FROM e UNION SELECT r.s, e.dst, min(r.c + e.w) FROM r JOIN e ON e.src = r.v
+LEFT JOIN recurring.r o ON o.s = r.s AND o.v = e.dst WHERE o.c IS NULL OR r.c + e.w < o.c GROUP BY r.s, e.dst),
+k AS (SELECT s, v, c FROM r UNION SELECT DISTINCT dst, dst, 0::DOUBLE FROM e)
+SELECT p.s AS a, p.v AS b, round((p.c + q.c) / 2, 4) AS dist FROM k p JOIN k q ON q.s = p.v AND q.v = p.s""")
+def metric_closure(spark, d):
+    return graph.metric_closure(_nation_edges(spark, d)).select("a", "b", F.round("dist", 4).alias("dist"))
+
+
+@query()
+def bfs_subgraph(spark, d):
+    e = part_edges(spark, d)
+    root = e.agg(F.min("src")).first()[0]
+    return graph.bfs_subgraph(e, root, 100)[0] if root is not None else e.select(F.col("w").alias("rank"), F.col("src").alias("id")).limit(0)
+
+
+@query("SELECT event_id, event_type AS kind, nullif(user_id::VARCHAR, '') AS owner FROM events")
+def tag_values(spark, d):
+    e = table(spark, d, "events")
+    tags = F.concat(F.lit('"kind"=>"'), "event_type", F.lit('","owner"=>"'), F.col("user_id").cast("string"), F.lit('"'))
+    return e.select("event_id", tags.alias("tags")).select("event_id", roads.tag(F.col("tags"), "kind").alias("kind"), roads.tag(F.col("tags"), "owner").alias("owner"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
+def first_event(spark, d):
+    return roads.first_per_key(table(spark, d, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT p.p_partkey AS id, count(*) AS n FROM part p JOIN part q ON (p.p_size - q.p_size) * (p.p_size - q.p_size)::DOUBLE + (p.p_retailprice - q.p_retailprice)::DOUBLE * (p.p_retailprice - q.p_retailprice)::DOUBLE <= 25.0 GROUP BY 1")
+def incident_density(spark, d):
+    return summary.density(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y")), 5.0)
+
+
+@query(_TRADE + """, c AS (SELECT quantile_cont(cap, [0.5, 0.85]) AS q FROM trade) SELECT a, b, (1 + (cap >= q[1])::INT + (cap >= q[2])::INT)::INT AS bin FROM trade, c""")
+def flow_bins(spark, d):
+    return summary.quantile_bins(trade(spark, d), "cap", [0.0, 0.5, 0.85, 1.0]).select("a", "b", "bin")
+
+
+@query("SELECT round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0")
+def price_slope(spark, d):
+    return summary.loglog_slope(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice").select(F.round("slope", 6).alias("slope"))
+
+
+@query("""SELECT t::DOUBLE AS threshold, sum((l_quantity >= t)::INT)::BIGINT AS flagged,
+round(sum((l_quantity >= t AND l_returnflag = 'R')::INT) / greatest(1, sum((l_quantity >= t)::INT)), 9)::DOUBLE AS precision,
+round(sum((l_quantity >= t AND l_returnflag = 'R')::INT) / greatest(1, sum((l_returnflag = 'R')::INT)), 9)::DOUBLE AS recall
+FROM lineitem, (SELECT unnest([10, 20, 30, 40]) AS t) GROUP BY t""")
+def threshold_sweep(spark, d):
+    rows = table(spark, d, "lineitem").select("l_quantity", (F.col("l_returnflag") == "R").alias("truth"))
+    return reports.precision_recall(rows, "l_quantity", "truth", [10, 20, 30, 40]).select("threshold", "flagged", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query("SELECT p_partkey, unit::INT AS unit FROM (SELECT p_partkey, unnest(range(1, p_size + 1)) AS unit FROM part)")
+def unit_expansion(spark, d):
+    return summary.expand_units(table(spark, d, "part"), "p_size").select("p_partkey", "unit")
+
+
+@query()
+def duplicate_reports(spark, d):
+    return reports.dedupe_reports(table(spark, d, "benchmark"), "item_id", "text")
+
+
+@query()
+def best_matches(spark, d):
+    return reports.best_matches(table(spark, d, "benchmark"), "item_id", "text").withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""SELECT h AS hour, n FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1)
+WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def closed_hours(spark, d):
+    return streaming.closed_hours(spark, f"{d}/events.parquet", "ts").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "n")
