@@ -61,6 +61,7 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
     shared = digests.join(merged.withColumn("merged", F.lit(True)), ["leaf", "tmpl"], "left").select("dk", "i", F.when(F.col("merged"), F.xxhash64("leaf", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
     per_doc = shared.select("dk", "tmpl").distinct()
     recurring = per_doc.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("dk").alias("keeper")).where(F.col("docs") >= min_docs).select("tmpl", "keeper")
+    recurring = scratch.write(recurring, "recurring")  # a scan, not an aggregate: a hot template's partition may be split in the join
     return shared.join(recurring, "tmpl").where("dk <> keeper").select("dk", "i")
 
 
