@@ -53,10 +53,11 @@ def count_tokens(docs: DataFrame, path: str, ranks: str | None = None, cache: st
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("text")).withColumn("digest", F.sha2("text", 256))
     stored = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
-    missing = rows.select("digest", "text").join(stored.select("digest"), "digest", "left_anti")
-    # one text for each missing digest; copies meet as partial aggregates, never in one task
-    once = missing.groupBy("digest").agg(F.first("text").alias("text"))
-    once.mapInArrow(_encode(path, ranks, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
+    # one text for each digest before the cache is asked; copies meet as partial aggregates, never in one task
+    once = rows.groupBy("digest").agg(F.first("text").alias("text"))
+    missing = once.join(stored.select("digest"), "digest", "left_anti").select("digest", "text")
+    missing.mapInArrow(_encode(path, ranks, version), CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    counts = scratch.write(counts, "counts")  # a scan, not an aggregate: a hot digest's partition may be split in the join
     sized = rows.select(id_col, "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sized.join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
