@@ -234,4 +234,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = member.join(least, "component").select("fp", "component_id")
     every = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    every = scratch.write(every, "every")  # a scan, not a join: a hot fingerprint's partition may be split below
     return prints.join(every, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
