@@ -56,12 +56,13 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
     # lines that hold the leaf's fixed tokens share its template
     modal = share_tokens(words).join(fixed.select("leaf", F.explode("fixed").alias("p")), ["leaf", "p"])
     pattern = modal.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("pattern"))
+    pattern = scratch.write(pattern, "pattern")  # a scan, not an aggregate: the partition of a leaf of very many forms may be split in the join
     fits = F.forall("pattern", lambda x: F.get(F.split("form", " "), x["p"]) == x["w"])
     merged = spread.join(pattern, "leaf").where(fits).select("leaf", "tmpl")
     shared = digests.join(merged.withColumn("merged", F.lit(True)), ["leaf", "tmpl"], "left").select("dk", "i", F.when(F.col("merged"), F.xxhash64("leaf", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
     per_doc = shared.select("dk", "tmpl").distinct()
     recurring = per_doc.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("dk").alias("keeper")).where(F.col("docs") >= min_docs).select("tmpl", "keeper")
-    recurring = scratch.write(recurring, "recurring")  # a scan, not an aggregate: a hot template's partition may be split in the join
+    recurring = scratch.write(recurring, "recurring")  # likewise for a hot template
     return shared.join(recurring, "tmpl").where("dk <> keeper").select("dk", "i")
 
 
