@@ -60,6 +60,7 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
     fits = F.forall("pattern", lambda x: F.get(F.split("form", " "), x["p"]) == x["w"])
     merged = spread.join(pattern, "leaf").where(fits).select("leaf", "tmpl")
     shared = digests.join(merged.withColumn("merged", F.lit(True)), ["leaf", "tmpl"], "left").select("dk", "i", F.when(F.col("merged"), F.xxhash64("leaf", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
+    shared = scratch.write(shared, "shared")  # read twice below
     per_doc = shared.select("dk", "tmpl").distinct()
     recurring = per_doc.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("dk").alias("keeper")).where(F.col("docs") >= min_docs).select("tmpl", "keeper")
     recurring = scratch.write(recurring, "recurring")  # likewise for a hot template
