@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from meridian.llm.boosting import calibrated
 from meridian.llm.decontaminate import find_contamination
 from meridian.llm.line_dedup import drop_recurring_lines
+from meridian.llm.near_texts import near_text_groups
 from meridian.llm.packing import pack
 from meridian.llm.quality_crf import document_quality, fit_quality, line_features
 from meridian.llm.scratch import Scratch, stable
-from meridian.llm.simhash import near_duplicates
 from meridian.llm.textcore import chunks
 from meridian.llm.tokens import tokenizer_path
 
@@ -51,12 +51,13 @@ def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that of the smallest id (nulls last), the first row on ties."""
+    """One document of each group of five-word Jaccard similarity 0.8 stays: that of the smallest id (nulls last), the first
+    row on ties."""
     scratch = Scratch(spark)
     rows = _numbered(docs, scratch)
-    groups = scratch.write(near_duplicates(rows.select("dk", "text"), id_col="dk", words_each=5, max_bits=4).select("dk", "component_id"), "groups")
+    groups = scratch.write(near_text_groups(rows.select("dk", "text"), scratch, words_each=5, similarity=0.8), "groups")
     ranked = groups.join(rows.select("dk", "doc_id"), "dk")
-    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk")).alias("m")).select(F.col("m.dk").alias("dk"))
+    first = ranked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dk")).alias("m")).select(F.col("m.dk").alias("dk"))
     return rows.join(first, "dk", "left_semi").select(*COLUMNS)
 
 
@@ -77,11 +78,12 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_filter),
     ("line dedup", line_dedup),
-    ("SimHash near-dedup", near_dedup),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", packing),
 ]
-#: SQL can't express the classifier, the fingerprints' groups or the packing; tests hold the stages against brute force.
+#: SQL can't express the classifier, the near-duplicate groups or the packing. tests/test_pipeline.py holds near-dedup
+#: against brute force; tests/llm the operators behind the other stages.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,42 @@
+"""Stages of the pipeline against brute force."""
+
+import random
+
+import corpus_pipeline as cp
+
+
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute(texts, least=0.8):
+    sets = [shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or (a and len(a & sets[j]) >= least * len(a | sets[j]) - 1e-9):
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
+def test_near_dedup_is_brute_force(spark):
+    g = random.Random(5)
+    texts = [None, "", " \n", "one", "ONE", "one two", "a b c d e", "a b c d e f"]
+    for _ in range(40):  # copies with a few words changed: similarities on either side of 0.8
+        base = [f"w{g.randint(0, 900)}" for _ in range(g.randint(60, 200))]
+        texts.append(" ".join(base))
+        for changed in (1, 2, 3, 4):
+            w = list(base)
+            for at in g.sample(range(len(w)), changed):
+                w[at] = "new"
+            texts.append(" ".join(w))
+    chain = [f"c{i}" for i in range(150)]
+    texts += [" ".join(chain[6 * i : 6 * i + 60]) for i in range(10)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(r.doc_id for r in cp.near_dedup(spark, docs, "").collect())
+    label = brute(texts)
+    assert got == sorted(set(label)) and 48 < len(got) < len(texts) - 40
+    assert cp.near_dedup(spark, docs.where("false"), "").count() == 0
