@@ -32,11 +32,11 @@ def _masked(text: Column) -> Column:
     return F.regexp_replace(flat, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
 
 
-def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 3) -> DataFrame:
+def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 1) -> DataFrame:
     """(dk, i): the lines to drop of ``docs(dk, text)``; i counts from 0."""
     # masked before the lines are taken apart, so that the pattern runs once
     lines = docs.select("dk", _masked(F.col("text")).alias("masked")).select("dk", F.posexplode(F.split("masked", "\n")).alias("i", "line")).select("dk", "i", F.trim("line").alias("form"))
-    lines = lines.withColumn("size", F.length("form") - F.length(F.translate("form", " ", "")) + 1).where(f"form <> '' and size >= {int(min_tokens)}")
+    lines = lines.withColumn("size", F.length("form") - F.length(F.translate("form", " ", "")) + 1).where(f"form not in ('', '{FIELD}') and size >= {int(min_tokens)}")
     leaf = F.xxhash64("size", F.substring_index("form", " ", depth))
     lines = scratch.write(lines.select("dk", "i", leaf.alias("leaf"), F.xxhash64("form", "size").alias("tmpl"), "form"), "lines")
     digests = lines.select("dk", "i", "leaf", "tmpl")
@@ -76,7 +76,8 @@ def share_tokens(words: DataFrame) -> DataFrame:
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with recurring lines gone from ``text_col``, and n_lines, n_dropped.
 
-    Lines end at newlines and keep their bytes and order. Lines of under ``min_tokens`` tokens always stay. The first
+    Lines end at newlines and keep their bytes and order. A line that is one lone number
+    (a placeholder by itself) always stays, and so do lines of under ``min_tokens`` tokens. The first
     document of a template (by row order) keeps all its lines of it; repeated rows are documents of their own. A null text
     stays null with no lines, an empty one is one empty line. All columns stay, whatever their names.
     """
