@@ -1,10 +1,10 @@
 """Line dedup by a log-template tree of fixed depth. DataFrame functions only.
 
 A line's tokens lead it down the tree: token count, then its first ``depth`` tokens, with tokens that hold a digit already
-generalised to ``<*>``. In a leaf, positions whose tokens vary from line to line are variable fields; if at least
-``similarity`` of the positions stay fixed the leaf's lines share one template with those fields generalised, else each
-line keeps its own tokens as its template. A template found in ``min_docs`` documents recurs: its lines are dropped
-from every document but the first.
+generalised to ``<*>``. A leaf holds any number of templates: forms that agree in at least ``similarity`` of their
+positions are one, over any chain of such forms, and the positions in which they differ are its variable fields, however
+common one value is. A template found in ``min_docs`` documents recurs: its lines are dropped from every document but the
+first.
 
 A leaf's tokens are looked at only where the leaf holds several forms in ``min_docs`` documents. Counts are partial
 sums before any shuffle; a line that all documents share is one row for each task, and its lines come back by a join
@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .linking import linked_groups
 from .scratch import Scratch, stable
 
 FIELD = "<*>"
-#: A position is variable if no token holds this share of the leaf's lines.
-FIXED_SHARE = 0.9
 #: Leaves (8 bytes each) that are broadcast at most; more of them join by shuffle.
 BROADCAST_LEAVES = 1_000_000
 
@@ -46,20 +45,12 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
     wide = wide.where(f"forms > 1 and n >= {int(min_docs)} and lo <> hi").select("leaf")
     wide = scratch.write(wide, "wide")
     wide = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
-    # one line of each form of such a leaf, weighed by its count: which positions vary?
-    spread = lines.select("leaf", "tmpl", "form").join(wide, "leaf", "left_semi").groupBy("leaf", "tmpl").agg(F.first("form").alias("form"))
-    spread = scratch.write(spread.join(forms.select("leaf", "tmpl", "n"), ["leaf", "tmpl"]), "spread")
-    words = spread.select("leaf", "n", F.posexplode(F.split("form", " ")).alias("p", "w"))
-    share = words.groupBy("leaf", "p", "w").agg(F.sum("n").alias("n")).groupBy("leaf", "p").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
-    fixed = share.groupBy("leaf").agg(F.collect_list(F.when(F.col("top") >= FIXED_SHARE * F.col("all"), F.col("p"))).alias("fixed"), F.count("*").alias("size"))
-    fixed = fixed.where(F.size("fixed") >= similarity * F.col("size")).withColumn("fixed", F.sort_array("fixed"))
-    # lines that hold the leaf's fixed tokens share its template
-    modal = share_tokens(words).join(fixed.select("leaf", F.explode("fixed").alias("p")), ["leaf", "p"])
-    pattern = modal.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("p", "w"))).alias("pattern"))
-    pattern = scratch.write(pattern, "pattern")  # a scan, not an aggregate: the partition of a leaf of very many forms may be split in the join
-    fits = F.forall("pattern", lambda x: F.get(F.split("form", " "), x["p"]) == x["w"])
-    merged = spread.join(pattern, "leaf").where(fits).select("leaf", "tmpl")
-    shared = digests.join(merged.withColumn("merged", F.lit(True)), ["leaf", "tmpl"], "left").select("dk", "i", F.when(F.col("merged"), F.xxhash64("leaf", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
+    # one line of each form of such a leaf: which are alike?
+    spread = lines.select("leaf", "tmpl", "form").join(wide, "leaf", "left_semi").groupBy("tmpl").agg(F.first("leaf").alias("leaf"), F.first("form").alias("form"))
+    spread = scratch.write(spread.withColumn("size", F.size(F.split("form", " "))), "spread")
+    merged = linked_groups(_segments(spread, depth, similarity), lambda pairs: _alike(pairs, spread, similarity), scratch)
+    merged = scratch.write(merged.select(F.col("node").alias("tmpl"), "component"), "merged")
+    shared = digests.join(merged, "tmpl", "left").select("dk", "i", F.when(F.col("component").isNotNull(), F.xxhash64("component", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
     shared = scratch.write(shared, "shared")  # read twice below
     per_doc = shared.select("dk", "tmpl").distinct()
     recurring = per_doc.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("dk").alias("keeper")).where(F.col("docs") >= min_docs).select("tmpl", "keeper")
@@ -67,10 +58,26 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
     return shared.join(recurring, "tmpl").where("dk <> keeper").select("dk", "i")
 
 
-def share_tokens(words: DataFrame) -> DataFrame:
-    """(leaf, p, w): the commonest token at each position of a leaf, the smallest on ties."""
-    counted = words.groupBy("leaf", "p", "w").agg(F.sum("n").alias("n"))
-    return counted.groupBy("leaf", "p").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("w"))).alias("m")).select("leaf", "p", F.col("m.w").alias("w"))
+def _segments(spread: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(key, node): two forms of a leaf that differ in at most ``most`` tokens share one of ``most + 1`` segments of the rest."""
+    rows = spread.select("leaf", F.col("tmpl").alias("node"), F.split("form", " ").alias("t"), "size", _most("size", similarity).alias("most"))
+    rows = rows.withColumn("rest", F.greatest(F.col("size") - depth, F.lit(0)).cast("int"))
+    one = F.col("rest") <= F.col("most")  # any two forms of the leaf are alike
+    rows = rows.withColumn("parts", F.when(one, 1).otherwise(F.col("most") + 1)).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
+    start, stop = F.expr("cast(s * rest div parts as int)"), F.expr("cast((s + 1) * rest div parts as int)")
+    own = F.when(F.col("rest") <= F.col("most"), F.lit("")).otherwise(F.array_join(F.slice("t", depth + 1 + start, stop - start), " "))
+    return rows.select(F.xxhash64("leaf", "s", own).alias("key"), "node")
+
+
+def _most(size: str, similarity: float) -> Column:
+    """Tokens in which two forms of ``size`` tokens may differ."""
+    return F.floor(F.col(size) * (1 - similarity) + 1e-9).cast("int")
+
+
+def _alike(pairs: DataFrame, spread: DataFrame, similarity: float) -> DataFrame:
+    u, v = spread.select(F.col("tmpl").alias("u"), F.split("form", " ").alias("a"), "size"), spread.select(F.col("tmpl").alias("v"), F.split("form", " ").alias("b"), F.col("size").alias("other"))
+    differ = F.size(F.filter(F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
+    return pairs.join(u, "u").join(v, "v").where((F.col("size") == F.col("other")) & (differ <= _most("size", similarity))).select("u", "v")
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:

@@ -32,5 +32,7 @@ def linked_groups(members: DataFrame, verified: Callable[[DataFrame], DataFrame]
     right = left.select("key", F.col("node").alias("v"), F.col("label").alias("other"))
     pairs = left.withColumnRenamed("node", "u").join(right, "key").where("u < v and label <> other").select("u", "v").distinct()
     pairs = scratch.write(pairs.join(stars, ["u", "v"], "left_anti"), "pairs")
+    if pairs.isEmpty():
+        return groups.withColumnRenamed("label", "component")
     more = scratch.write(verified(pairs), "links-pairs")
     return connected_components(links.union(more), Scratch(spark))

@@ -12,3 +12,27 @@ def test_short_lines_recur(spark):
     got = kept(spark, [f"Share\nRead more\n{2000 + i}\nown{'abcd'[i] * 3}" for i in range(4)])
     assert sum(x.count("Share") for x in got) == sum(x.count("Read more") for x in got) == 1
     assert all(f"{2000 + i}" in x and any(y.startswith("own") for y in x) for i, x in enumerate(got))
+
+
+def test_a_leaf_holds_several_templates(spark):
+    names = ["alpha", "beta", "gamma", "delta"]
+    a = [f"the server is up and {w} has joined the cluster today" for w in names]
+    b = [f"the server is down since {w} left a broken old disk" for w in names]
+    other = ["the server is one two three four five six seven eight", "the server is nine ten large small red green blue grey"]
+    got = kept(spark, [f"{x}\n{y}" for x, y in zip(a, b, strict=True)] + other)
+    left = [y for x in got for y in x]
+    assert sum(x in a for x in left) == sum(x in b for x in left) == 1 and set(other) <= set(left)
+
+
+def test_a_common_value_is_still_a_field(spark):
+    got = kept(spark, ["posted by admin on our own site"] * 30 + ["posted by admin in our own site", "posted by admin at our own site"])
+    assert sum("posted" in y for x in got for y in x) == 1
+
+
+def test_similar_forms_are_found_wherever_they_differ(spark):
+    base = [f"t{chr(97 + i)}" for i in range(20)]
+    for at in ([3, 4, 5, 6, 7, 8], [3, 6, 9, 12, 15, 18], [14, 15, 16, 17, 18, 19]):
+        forms = [" ".join(f"{w}{x}" if i in at else w for i, w in enumerate(base)) for x in "pqr"]
+        far = " ".join(f"{w}z" if i in [*at, 10, 11] else w for i, w in enumerate(base))
+        left = [y for x in kept(spark, [*forms, far]) for y in x]
+        assert sum(x in forms for x in left) == 1 and far in left
