@@ -31,7 +31,7 @@ def _masked(text: Column) -> Column:
     return F.regexp_replace(flat, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
 
 
-def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_docs: int = 3, min_tokens: int = 1) -> DataFrame:
+def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_docs: int = 2, min_tokens: int = 1) -> DataFrame:
     """(dk, i): the lines to drop of ``docs(dk, text)``; i counts from 0."""
     # masked before the lines are taken apart, so that the pattern runs once
     lines = docs.select("dk", _masked(F.col("text")).alias("masked")).select("dk", F.posexplode(F.split("masked", "\n")).alias("i", "line")).select("dk", "i", F.trim("line").alias("form"))

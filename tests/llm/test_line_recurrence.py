@@ -36,3 +36,9 @@ def test_similar_forms_are_found_wherever_they_differ(spark):
         far = " ".join(f"{w}z" if i in [*at, 10, 11] else w for i, w in enumerate(base))
         left = [y for x in kept(spark, [*forms, far]) for y in x]
         assert sum(x in forms for x in left) == 1 and far in left
+
+
+def test_two_documents_share_a_line(spark):
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    got = kept(spark, [f"first own text\n{passage}", f"{passage}\nanother own line here", "third"])
+    assert got == [["first own text", passage], ["another own line here"], ["third"]]
