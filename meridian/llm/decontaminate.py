@@ -49,6 +49,10 @@ def windows(rows: DataFrame, key: str, words_each: int) -> DataFrame:
     return at.select(key, "at", "raw", "canon", F.xxhash64(*tokens).alias("h"), literals.alias("literals"))
 
 
+def _raw_hash(words_each: int) -> Column:
+    return F.xxhash64(*[F.get("raw", F.col("at") + k) for k in range(words_each)])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, words_each: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
     """(dk, item, matched, n_windows, consistent): the items that ``docs(dk, text)`` hold, of ``benchmark(item, text)``."""
     spark = docs.sparkSession
@@ -61,15 +65,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, words_each: int =
     named = every.where("at = 0").withColumn("h", F.xxhash64(*tokens))
     keyed = every.unionByName(named).where(F.col("literals") >= least).dropDuplicates(["item", "at", "h"])
     bench = scratch.write(keyed.select("item", F.col("at").alias("item_at"), "h", F.slice("raw", F.col("at") + 1, words_each).alias("item_raw")), "bench")
-    sizes = bench.groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
+    # items whose windows hold too few literals are found by their raw tokens
+    bare = every.join(bench.select("item").distinct(), "item", "left_anti").withColumn("h", _raw_hash(words_each))
+    bare = scratch.write(bare.select("item", F.col("at").alias("item_at"), "h", F.slice("raw", F.col("at") + 1, words_each).alias("item_raw")), "bare")
+    sizes = bench.union(bare).groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
     side = F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench
-    cut = windows(docs, "dk", words_each)
-    hits = cut.join(side, "h").select("dk", "item", "item_at", "at", F.slice("canon", F.col("at") + 1, words_each).alias("canon"), F.slice("raw", F.col("at") + 1, words_each).alias("raw"), "item_raw")
+    n_bare = bare.count()
+    bare_side = F.broadcast(bare) if n_bare <= BROADCAST_WINDOWS else bare
+    # an item of fewer words is one shorter window, so documents are cut at its length too
+    short = [r[0] for r in bench.union(bare).select(F.size("item_raw")).distinct().collect() if r[0] < words_each]
+    hits = raw_hits = None
+    for n in [words_each, *sorted(short)]:
+        cut, fits = windows(docs, "dk", n), F.lit(True) if n == words_each else F.size("item_raw") == n
+        found = cut.join(side.where(fits), "h").select("dk", "item", "item_at", "at", F.slice("canon", F.col("at") + 1, n).alias("canon"), F.slice("raw", F.col("at") + 1, n).alias("raw"), "item_raw")
+        hits = found if hits is None else hits.union(found)
+        if n_bare:
+            exact = cut.withColumn("h", _raw_hash(n)).join(bare_side.where(fits), "h").select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
+            raw_hits = exact if raw_hits is None else raw_hits.union(exact)
     slot = F.filter(
         F.transform("canon", lambda c, k: F.struct((c.rlike(f"[{NUM}{NAME}{UNIT}]")).alias("slot"), F.lower(F.regexp_replace(F.get("item_raw", k), r"[.,;:!?]+$", "")).alias("a"), F.lower(F.regexp_replace(F.get("raw", k), r"[.,;:!?]+$", "")).alias("b"))),
         lambda s: s["slot"] & s["a"].isNotNull(),
     )
     hits = hits.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.transform(slot, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))).alias("slots"))
+    if raw_hits is not None:
+        hits = hits.unionByName(raw_hits.withColumn("slots", F.expr("cast(array() as array<struct<a: string, b: string>>)")))
     hits = scratch.write(hits.distinct(), "hits")
     # slots of one alignment: as many values on either side as pairs of values
     pairs = hits.select("dk", "item", "shift", F.explode("slots").alias("s")).distinct()
@@ -83,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(id, item, matched, n_windows): a row for each document and benchmark item that it holds; none for clean documents.
 
     Null texts hold nothing; equal benchmark texts are one item (the smallest id). Items of fewer words than a window
-    are one window of what they have and match only documents as short. Repeated document rows repeat theirs.
+    are one window of what they have. Items without a window of two literal words are found by their raw tokens. Repeated document rows repeat theirs.
     """
     scratch = Scratch(docs.sparkSession)
     rows = stable(docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")), scratch).withColumn("dk", F.monotonically_increasing_id())
