@@ -1,15 +1,16 @@
 """Packing of documents into sequences by swap-based local search.
 
 Documents become pieces of token ids; full pieces are sequences of their own. The others are dealt by hash into groups of
-about ``GROUP`` pieces (only lengths travel), and each group is packed: best-fit-decreasing bins first, then bins below
-capacity exchange one piece for one, two for one, or take a piece over, whenever that raises the sum of squared fills.
-Squared fill grows as full bins get fuller and small ones smaller, so bins run empty and are dropped.
+about ``GROUP`` pieces (only lengths travel). Local search packs each group, from two plain starts (bins filled in the
+order of the rows, and a bin for each piece), of which the better end stays: bins below capacity take a piece over,
+exchange one piece for one, or one for two, with bins no fuller than they are. Each step raises the sum of squared fills,
+so full bins get fuller, small ones run empty and are dropped; a search ends when no step is left.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,107 +22,117 @@ from pyspark.sql import functions as F
 from . import tokens
 from .scratch import Scratch
 
+#: Pieces of a group: what one task packs. A group leaves about one bin part empty, some 0.2 % of its bins.
 GROUP = 4096
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each piece goes to the fullest bin with room."""
+def in_order(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins filled in the given order; a piece that doesn't fit opens the next bin."""
     bins: list[list[int]] = []
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by free space
-    frees: list[int] = []  # sorted free spaces in use
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        n = lengths[i]
-        at = bisect.bisect_left(frees, n)
-        if at == len(frees):
-            bins.append([i])
-            b, left = len(bins) - 1, capacity - n
-        else:
-            free = frees[at]
-            b = room[free].pop()
-            if not room[free]:
-                frees.pop(at)
-            bins[b].append(i)
-            left = free - n
-        if not room[left]:
-            bisect.insort(frees, left)
-        room[left].append(b)
+    fill = capacity
+    for i, n in enumerate(lengths):
+        if fill + n > capacity:
+            bins.append([])
+            fill = 0
+        bins[-1].append(i)
+        fill += n
     return bins
 
 
-def improve(lengths: list[int], bins: list[list[int]], capacity: int, rounds: int = 6) -> list[list[int]]:
-    """Local search from ``bins``; every step raises the sum of squared fills, so it ends."""
+class _Givers:
+    """Which piece lengths, and which sums of two, the bins that may give hold; bit sets answer "the largest up to m"."""
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.bins, self.lengths = bins, lengths
+        self.low = [(1 << (m + 1)) - 1 for m in range(capacity + 1)]
+        self.at: tuple[list[dict], list[dict]] = tuple([{} for _ in range(capacity + 1)] for _ in range(2))
+        self.mask = [0, 0]
+
+    def _keys(self, b: int) -> tuple[list[int], set[int]]:
+        count = Counter(self.lengths[i] for i in self.bins[b])
+        single = sorted(count)
+        return single, {x + y for k, x in enumerate(single) for y in single[k if count[x] > 1 else k + 1 :]}
+
+    def add(self, b: int) -> None:
+        for kind, keys in enumerate(self._keys(b)):
+            for n in keys:
+                self.at[kind][n][b] = None
+                self.mask[kind] |= 1 << n
+
+    def remove(self, b: int) -> None:
+        for kind, keys in enumerate(self._keys(b)):
+            for n in keys:
+                held = self.at[kind][n]
+                del held[b]
+                if not held:
+                    self.mask[kind] &= ~(1 << n)
+
+    def largest(self, kind: int, most: int) -> int:
+        """The greatest length (kind 0) or sum of two (kind 1) that a bin can give, up to ``most``; 0 if there is none."""
+        return max(0, (self.mask[kind] & self.low[min(most, len(self.low) - 1)]).bit_length() - 1)
+
+    def take(self, kind: int, n: int) -> tuple[int, list[int]]:
+        """A bin, the last one put in, and its one or two pieces of that length or sum."""
+        b = next(reversed(self.at[kind][n]))
+        if not kind:
+            return b, [next(i for i in self.bins[b] if self.lengths[i] == n)]
+        first: dict[int, int] = {}
+        for i in self.bins[b]:
+            if (j := first.get(n - self.lengths[i])) is not None:
+                return b, [j, i]
+            first.setdefault(self.lengths[i], i)
+        raise AssertionError("the index holds a sum that the bin doesn't")
+
+
+def improve(lengths: list[int], bins: list[list[int]], capacity: int, made: Counter | None = None) -> list[list[int]]:
+    """Local search from ``bins`` until no move, one-for-one or two-for-one exchange raises the sum of squared fills that way.
+
+    Bins are filled from the fullest down. A bin takes the step that fills it most, from any bin that comes after it, and
+    leaves the index once none is left; sweeps go on until one changes nothing. ``made`` counts the steps by kind.
+    """
     bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        at = {b: k for k, b in enumerate(under)}
-        by_size: list[set[int]] = [set() for _ in range(capacity + 1)]  # pieces in bins below capacity
-        home = {}
-        for b in under:
-            for i in bins[b]:
-                by_size[lengths[i]].add(i)
-                home[i] = b
-        sizes = sorted({n for n in range(1, capacity + 1) if by_size[n]})
+    made = Counter() if made is None else made
+    changed = True
+    while changed:
         changed = False
-
-        def shift(i: int, a: int) -> None:
-            b = home[i]
-            bins[b].remove(i)
-            fill[b] -= lengths[i]
-            bins[a].append(i)
-            fill[a] += lengths[i]
-            home[i] = a
-
-        def other(n: int, a: int, below: int) -> int | None:
-            """A piece of length n in another bin whose fill is under ``below``."""
-            for i in by_size[n]:
-                if home[i] != a and fill[home[i]] < below:
-                    return i
-            return None
-
-        def largest(most: int, a: int, below: int, least: int = 1) -> int | None:
-            k = bisect.bisect_right(sizes, most)
-            for k in range(k - 1, max(-1, k - 13), -1):
-                if sizes[k] < least:
-                    break
-                if (i := other(sizes[k], a, below)) is not None:
-                    return i
-            return None
-
-        for a in reversed(under):  # the fullest first: they fill up at the cost of the emptiest
-            while 0 < fill[a] < capacity:
+        open_ = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b])
+        givers = _Givers(bins, lengths, capacity)
+        for b in open_:
+            givers.add(b)
+        for a in open_:
+            if not fill[a]:
+                continue
+            givers.remove(a)
+            while fill[a] < capacity:
                 gap = capacity - fill[a]
-                best = None  # (gain of this bin, pieces in, piece out)
-                if (i := largest(gap, a, fill[a] + 1)) is not None:
-                    best = (lengths[i], (i,), None)
-                for j in sorted(bins[a], key=lambda i: -lengths[i])[:8]:
-                    if best and best[0] == gap:
+                best = (givers.largest(0, gap), 2, 0, 0, "move")  # (gain, fewer pieces left elsewhere first, kind, length out, name)
+                for out in sorted({lengths[i] for i in bins[a]}):
+                    if best[0] == gap:
                         break
-                    n, below = lengths[j], fill[a] + 1
-                    if (i := largest(n + gap, a, below, n + 1)) is not None and (not best or lengths[i] - n > best[0]):
-                        best = (lengths[i] - n, (i,), j)
-                    if (i := largest((n + gap) // 2, a, below)) is not None:
-                        spare = n + gap - lengths[i]
-                        k = max((x for x in bins[home[i]] if x != i and lengths[x] <= spare), key=lambda x: lengths[x], default=None)
-                        if k is not None and lengths[i] + lengths[k] - n > (best[0] if best else 0):
-                            best = (lengths[i] + lengths[k] - n, (i, k), j)
-                if best is None:
+                    two, one = givers.largest(1, out + gap) - out, givers.largest(0, out + gap) - out
+                    best = max(best, (two, 1, 1, out, "two for one"), (one, 0, 0, out, "one for one"))
+                gain, _, kind, out, name = best
+                if gain <= 0:
                     break
-                _, into, out = best  # from a bin no fuller than this one, so the squares grow
-                b = home[into[0]]
-                for i in into:
-                    shift(i, a)
-                if out is not None:
-                    shift(out, b)
+                b, into = givers.take(kind, gain + out)
+                givers.remove(b)
+                given = [next(i for i in bins[a] if lengths[i] == out)] if out else []
+                bins[b] = [i for i in bins[b] if i not in into] + given
+                bins[a] = [i for i in bins[a] if i not in given] + into
+                fill[a] += gain
+                fill[b] -= gain
+                if fill[b]:
+                    givers.add(b)
+                made[name] += 1
                 changed = True
-                if fill[a] == capacity:
-                    for i in bins[a]:
-                        by_size[lengths[i]].discard(i)
-        if not changed or not at:
-            break
     return [b for b in bins if b]
 
 
+def search(lengths: list[int], capacity: int) -> list[list[int]]:
+    return min((improve(lengths, start, capacity) for start in (in_order(lengths, capacity), [[i] for i in range(len(lengths))])), key=len)
+
+
 def _pieces(path: str, ranks: str | None, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(path, ranks)
@@ -129,8 +140,9 @@ def _pieces(path: str, ranks: str | None, capacity: int, end_id: int):
             row, piece, start, length, crc = [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 raw = np.array([*enc.ids(text), end_id], dtype="<u4")
-                for p, at in enumerate(range(0, len(raw), capacity)):
-                    part = raw[at : at + capacity]
+                first = (len(raw) - 1) % capacity + 1  # what full pieces leave over comes first
+                for p, at in enumerate([0, *range(first, len(raw), capacity)]):
+                    part = raw[at : at + capacity if p else first]
                     row.append(k)
                     piece.append(p)
                     start.append(at)
@@ -146,7 +158,7 @@ def _pack(capacity: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("row", ignore_index=True)
         lengths = group["length"].tolist()
-        bins = improve(lengths, best_fit(lengths, capacity), capacity)
+        bins = search(lengths, capacity)
         seq, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for b, members in enumerate(bins):
             at = 0
@@ -161,8 +173,9 @@ def _pack(capacity: int):
 def pack(docs: DataFrame, path: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset), one row for each piece.
 
-    A document's ids are its tokens and ``end_id``; longer than ``capacity``, they are cut into full pieces and a last
-    shorter one. Null text counts as empty (one id). Ids may be null or repeated; an empty table gives an empty result.
+    A document's ids are its tokens and ``end_id``; longer than ``capacity``, they are cut into full pieces, of which only
+    the first may be shorter. Null text counts as empty (one id). Ids may be null or repeated: each row has pieces of its
+    own. Pieces of equal length are told apart by their row. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

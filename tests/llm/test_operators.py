@@ -16,7 +16,7 @@ from meridian.llm.boosting import calibrated, fit_trees, isotonic
 from meridian.llm.decontaminate import contaminated
 from meridian.llm.embedding_dedup import near_duplicate_vectors
 from meridian.llm.line_dedup import drop_recurring_lines
-from meridian.llm.packing import best_fit, improve, pack
+from meridian.llm.packing import improve, in_order, pack, search
 from meridian.llm.quality_crf import forward_backward, score_quality
 from meridian.llm.scratch import Scratch
 from meridian.llm.components import connected_components
@@ -156,7 +156,8 @@ def test_packing(docs, none):
     want = Counter()
     for r in ROWS:
         ids = np.array([*enc.ids(r[1] or ""), 0], "<u4")
-        want.update((r[0], p, at, len(ids[at : at + 256]), zlib.crc32(ids[at : at + 256].tobytes())) for p, at in enumerate(range(0, len(ids), 256)))
+        cuts = [0, *range(len(ids) % 256 or 256, len(ids), 256), len(ids)]  # only the first piece may be shorter
+        want.update((r[0], p, a, b - a, zlib.crc32(ids[a:b].tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)))
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     seqs: dict = {}
     for r in rows:
@@ -170,14 +171,23 @@ def test_packing(docs, none):
     assert pack(none, JSON, RANKS).count() == 0
 
 
-def test_local_search_only_improves():
+def test_local_search_packs_by_itself():
     g = random.Random(3)
-    for _ in range(10):
-        sizes = [g.randint(1, 100) for _ in range(200)]
-        for bins in (best_fit(sizes, 100), [[i] for i in range(200)]):
+    for lo, hi, n in ((1, 100, 200), (15, 45, 400), (30, 50, 300), (1, 3, 300), (100, 100, 5), (1, 1, 0)):
+        sizes = [g.randint(lo, hi) for _ in range(n)]
+        for bins in (in_order(sizes, 100), [[i] for i in range(n)]):
             out = improve(sizes, bins, 100)
-            assert sorted(i for b in out for i in b) == list(range(200)) and all(sum(sizes[i] for i in b) <= 100 for b in out)
-            assert len(out) <= len(bins)
+            assert sorted(i for b in out for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= 100 for b in out)
+            assert sum(sum(sizes[i] for i in b) ** 2 for b in out) >= sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+        if hi < 50 and n:  # pieces that can fill bins up: within 1 % of the bound
+            assert len(search(sizes, 100)) <= 1.01 * sum(sizes) / 100 + 1
+
+
+def test_each_step_of_the_search():
+    for sizes, bins, kind in (([6, 4], [[0], [1]], "move"), ([6, 3, 4, 5], [[0, 1], [2, 3]], "one for one"), ([6, 3, 2, 2, 5], [[0, 1], [2, 3, 4]], "two for one")):
+        made = Counter()
+        out = improve(sizes, bins, 10, made)
+        assert made[kind] and sum(sizes[i] for i in out[0]) == 10, kind
 
 
 def test_e8_decodes_to_the_nearest():
