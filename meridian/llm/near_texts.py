@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .linking import linked_groups
 from .scratch import Scratch
-from .textcore import U64, WORD_BASE, WORD_BASE2, buffers, chunks, mix, spans_hash, word_hashes, words
+from .textcore import JOIN, U64, buffers, chunks, mix, whole_hashes, window_hashes, word_hashes, words
 
 BANDS, EACH = 20, 4
 _RNG = np.random.default_rng(11)
@@ -36,7 +36,10 @@ def shingles(terms: np.ndarray, at: np.ndarray, words_each: int) -> tuple[np.nda
     count = np.where(n >= words_each, n - words_each + 1, np.minimum(n, 1))
     row = np.repeat(np.arange(len(n)), count)
     first = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    h = spans_hash(terms, first, first + np.minimum(n, words_each)[row], WORD_BASE)
+    runs = window_hashes(terms, words_each)
+    h = runs[np.minimum(first, len(runs) - 1)] if len(runs) else np.zeros(len(row), U64)
+    few = n[row] < words_each
+    h[few] = whole_hashes(terms, at)[row[few]]
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
@@ -54,7 +57,7 @@ def bands(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
         for b in range(BANDS):
             key = np.full(len(first), U64(b))
             for j in range(b * EACH, (b + 1) * EACH):
-                key = mix(key * U64(WORD_BASE2) + np.minimum.reduceat(h * _TIMES[j] + _PLUS[j], first))
+                key = mix(key * JOIN + np.minimum.reduceat(h * _TIMES[j] + _PLUS[j], first))
             out[row[first], b] = key
     return out
 
@@ -68,7 +71,7 @@ def _sketch(words_each: int):
             none = np.bincount(row, minlength=part.num_rows) == 0
             size = np.where(none, 0, BANDS)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(keys[~none].reshape(-1).view(np.int64)))
-            whole = [pa.array(spans_hash(terms, at[:-1], at[1:], base).view(np.int64)) for base in (WORD_BASE, WORD_BASE2)]
+            whole = [pa.array(whole_hashes(terms, at, salt).view(np.int64)) for salt in (0, 1)]
             yield pa.RecordBatch.from_arrays([part.column(0), *whole, lists], names=["dk", "d1", "d2", "keys"])
 
     return run
@@ -82,7 +85,7 @@ def _similar(words_each: int, similarity: float):
             for d, o in ((data, offs), buffers(part.column(part.schema.get_field_index("other")))):
                 row, h = shingles(*_word_terms(d, o), words_each)
                 with np.errstate(over="ignore"):
-                    sets.append((row, mix(h + row.astype(U64) * U64(WORD_BASE2))))
+                    sets.append((row, mix(h + row.astype(U64) * JOIN)))
             (ra, a), (rb, b) = sets
             both = np.bincount(ra[np.intersect1d(a, b, assume_unique=True, return_indices=True)[1]], minlength=n)
             either = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both

@@ -83,6 +83,39 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), p AS (
+  SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35
+), h AS (
+  SELECT r, i, sha256(array_to_string(ws[i : i + 34], ' ')) AS h FROM p
+), again AS (
+  SELECT r, i FROM h SEMI JOIN (SELECT h FROM h GROUP BY h HAVING count(*) > 1) USING (h)
+), gone AS (
+  SELECT r, list(DISTINCT j) AS js FROM (SELECT r, unnest(range(i, i + 35)) AS j FROM again) GROUP BY r
+), k AS (
+  SELECT doc_id, len(ws) AS n, coalesce(len(js), 0) AS n_removed, ws, js FROM d LEFT JOIN gone USING (r)
+)
+SELECT doc_id, n::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN ws ELSE list_filter(ws, lambda w, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+FROM k
+""",
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), ok AS (
+  SELECT r, vec_id, label, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS size FROM v
+  WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), l AS (
+  SELECT a.r AS u, b.r AS v FROM ok a JOIN ok b ON a.label = b.label AND len(a.x) = len(b.x) AND a.r <> b.r
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.93
+), c(r, low) USING KEY (r) AS (
+  SELECT r, vec_id FROM v
+  UNION SELECT l.v, min(c.low) FROM c JOIN l ON l.u = c.r JOIN recurring.c o ON o.r = l.v WHERE c.low < o.low GROUP BY l.v
+), n AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept FROM v JOIN c USING (r) LEFT JOIN n ON n.u = v.r
+""",
     "op7_url_filters": """
 WITH p AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages

@@ -4,10 +4,16 @@ A task packs the keys of about a million positions into one block for each targe
 itself has seen twice need no further proof: their positions go out as *known*, spread over all partitions by
 document, and the key's own partition gets just one flagged entry from this task. So a key that every document holds
 costs its partition one entry for each block, however many positions have it; nothing is dropped or sampled.
+
+Up to ``DIRECT`` partitions blocks go straight to their target. For more of them blocks go to a region of partitions first
+and are cut up there, both ways, so that a task writes about the square root of ``parts`` blocks for each million positions
+and blocks don't shrink as the data grows.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +24,23 @@ BLOCK_SCHEMA = "part int, known boolean, keys binary, extra binary, flags binary
 _ARROW = pa.schema([("part", pa.int32()), ("known", pa.bool_()), ("keys", pa.binary()), ("extra", pa.binary()), ("flags", pa.binary()), ("dk", pa.binary()), ("pos", pa.binary())])
 #: Positions that are packed together.
 BLOCK_ROWS = 1 << 20
+#: Target partitions that blocks are sent to without a stop in between.
+DIRECT = 2048
+
+
+def regions(parts: int) -> tuple[int, int]:
+    """(regions, partitions of a region) for a two-step way, (parts, 1) for a direct one."""
+    if parts <= DIRECT:
+        return parts, 1
+    each = math.isqrt(parts - 1) + 1
+    return -(-parts // each), each
 
 
 class Packer:
-    """Collects (key, extra, dk, pos) and turns them into blocks for ``parts`` partitions."""
+    """Collects (key, extra, dk, pos) and turns them into blocks for the regions of ``parts`` partitions."""
 
     def __init__(self, parts: int):
-        self.parts, self.held, self.rows = parts, [], 0
+        self.parts, self.each, self.held, self.rows = parts, regions(parts)[1], [], 0
 
     def add(self, key: np.ndarray, extra: np.ndarray, dk: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
         if len(key):
@@ -39,18 +55,26 @@ class Packer:
         key, extra, dk, pos = (np.concatenate(x) for x in zip(*self.held, strict=True))
         self.held, self.rows = [], 0
         order, again, first = _runs(key, extra)
-        out: list[tuple] = []
         hit = np.sort(order[again])
-        for p, own in _split(_bucket(dk[hit], self.parts), self.parts):
-            out.append((p, True, b"", b"", b"", dk[hit[own]].tobytes(), _wide(pos[hit[own]])))
         one = np.sort(order[first])  # an entry for each key, in the order of the text
         flag = np.zeros(len(key), bool)
         flag[order[again]] = True
-        part = key[one] % np.uint64(self.parts)
-        for p, own in _split(part, self.parts):
-            i = one[own]
-            out.append((p, False, key[i].tobytes(), extra[i].tobytes(), np.packbits(flag[i]).tobytes(), dk[i].tobytes(), _wide(pos[i])))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+        out = [*_known_blocks(dk[hit], pos[hit], self.parts, self.each), *_key_blocks(key[one], extra[one], flag[one], dk[one], pos[one], self.parts, self.each)]
+        yield _batch(out, _ARROW)
+
+
+def _batch(blocks: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*blocks, strict=True), schema.types, strict=True)], schema=schema)
+
+
+def _known_blocks(dk: np.ndarray, pos: np.ndarray, parts: int, each: int) -> Iterator[tuple]:
+    for p, i in _split(_bucket(dk, parts) // np.uint64(each)):
+        yield p, True, b"", b"", b"", dk[i].tobytes(), _wide(pos[i])
+
+
+def _key_blocks(key: np.ndarray, extra: np.ndarray, flag: np.ndarray, dk: np.ndarray, pos: np.ndarray, parts: int, each: int) -> Iterator[tuple]:
+    for p, i in _split(key % np.uint64(parts) // np.uint64(each)):
+        yield p, False, key[i].tobytes(), extra[i].tobytes(), np.packbits(flag[i]).tobytes(), dk[i].tobytes(), _wide(pos[i])
 
 
 def _wide(pos: np.ndarray) -> bytes:
@@ -63,12 +87,12 @@ def _narrow(raw: bytes) -> np.ndarray:
     return half[0] | half[1] << 16
 
 
-def _split(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each partition that occurs, with its entries in their order."""
     order = np.argsort(part, kind="stable")
-    at = np.searchsorted(part[order], np.arange(parts + 1, dtype=part.dtype))
-    for p in range(parts):
-        if at[p] < at[p + 1]:
-            yield p, order[at[p] : at[p + 1]]
+    cuts = np.flatnonzero(part[order][1:] != part[order][:-1]) + 1
+    for a, b in itertools.pairwise([0, *cuts.tolist(), len(part)] if len(part) else []):
+        yield int(part[order[a]]), order[a:b]
 
 
 def _runs(key: np.ndarray, extra: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,34 +117,59 @@ def _bucket(dk: np.ndarray, parts: int) -> np.ndarray:
     return ((dk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
 
 
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    key = np.frombuffer(row["keys"], np.uint64)
+    flag = np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(key)).astype(bool)
+    return key, np.frombuffer(row["extra"], np.uint32), flag, np.frombuffer(row["dk"], np.int64), _narrow(row["pos"])
+
+
+def _dealt(parts: int):
+    """From blocks by region to blocks by partition, about BLOCK_ROWS positions at a time."""
+
+    def cut(known: list[tuple], keyed: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        if known:
+            out += _known_blocks(*(np.concatenate(x) for x in zip(*known, strict=True)), parts, 1)
+        if keyed:
+            out += _key_blocks(*(np.concatenate(x) for x in zip(*keyed, strict=True)), parts, 1)
+        if out:
+            yield _batch(out, _ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keyed, rows = [], [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = _unpacked(row)
+                known.append(x[3:]) if row["known"] else keyed.append(x)
+                rows += len(x[3])
+                if rows >= BLOCK_ROWS:
+                    yield from cut(known, keyed)
+                    known, keyed, rows = [], [], 0
+        yield from cut(known, keyed)
+
+    return run
+
+
 def _seen_again(parts: int):
-    """From blocks by key to blocks by document: the positions whose key was seen again."""
+    """From blocks by key to known blocks by document's region: the positions whose key was seen again."""
+    each = regions(parts)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, extras, flags, dks, poss, hits = [], [], [], [], [], []
+        keyed, hits = [], []
         for batch in batches:
             for row in batch.to_pylist():
-                dk, pos = np.frombuffer(row["dk"], np.int64), _narrow(row["pos"])
-                if row["known"]:
-                    hits.append((dk, pos))
-                    continue
-                key = np.frombuffer(row["keys"], np.uint64)
-                keys.append(key)
-                extras.append(np.frombuffer(row["extra"], np.uint32))
-                flags.append(np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=len(key)).astype(bool))
-                dks.append(dk)
-                poss.append(pos)
-        if keys:
-            key, extra, flag, dk, pos = (np.concatenate(x) for x in (keys, extras, flags, dks, poss))
+                x = _unpacked(row)
+                hits.append(x[3:]) if row["known"] else keyed.append(x)
+        if keyed:
+            key, extra, flag, dk, pos = (np.concatenate(x) for x in zip(*keyed, strict=True))
             order, again, _ = _runs(key, extra)
             hit = np.sort(order[again])
             hit = hit[~flag[hit]]  # the positions of flagged entries are known already
             hits.append((dk[hit], pos[hit]))
         if hits:
-            dk, pos = (np.concatenate(x) for x in zip(*hits, strict=True))
-            out = [(p, dk[own].tobytes(), _wide(pos[own])) for p, own in _split(_bucket(dk, parts), parts)]
+            out = list(_known_blocks(*(np.concatenate(x) for x in zip(*hits, strict=True)), parts, each))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "dk", "pos"])
+                yield _batch(out, _ARROW)
 
     return run
 
@@ -142,7 +191,13 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def positions_seen_again(blocks: DataFrame, parts: int) -> DataFrame:
     """(dk long, pos array<int>), one row for each document that has any, from blocks of BLOCK_SCHEMA made by Packer(parts).
 
-    Positions travel back in blocks too: a partition sends one block to each partition of documents.
+    Positions travel back in blocks too: a partition sends one block to each region or partition of documents.
     """
-    seen = blocks.repartitionById(parts, "part").mapInArrow(_seen_again(parts), "part int, dk binary, pos binary")
-    return seen.repartitionById(parts, "part").mapInArrow(_by_document, "dk long, pos array<int>")
+    areas, each = regions(parts)
+
+    def home(df: DataFrame) -> DataFrame:
+        if each > 1:
+            df = df.repartitionById(areas, "part").mapInArrow(_dealt(parts), BLOCK_SCHEMA)
+        return df.repartitionById(parts, "part")
+
+    return home(home(blocks).mapInArrow(_seen_again(parts), BLOCK_SCHEMA)).mapInArrow(_by_document, "dk long, pos array<int>")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="meridian-scratch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -47,8 +49,13 @@ class Scratch:
         _delete(self.spark, f"{self.root}/{name}")
 
 
+#: Shuffle partitions at most; beyond that they grow, for a shuffle's bookkeeping on the driver grows with their number.
+MOST_PARTITIONS = 200_000
+
+
 def partitions_for(df: DataFrame, mb_each: int = 16) -> int:
-    """Shuffle partitions that hold about ``mb_each`` MB of the input's files each, never fewer than the session's setting.
+    """Shuffle partitions that hold about ``mb_each`` MB of the input's files each (more beyond MOST_PARTITIONS of them),
+    never fewer than the session's setting.
 
     The size is Catalyst's estimate from file sizes, so nothing is read.
     """
@@ -57,7 +64,7 @@ def partitions_for(df: DataFrame, mb_each: int = 16) -> int:
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > 1 << 56:  # no estimate
         return least
-    return max(least, -(-size // (mb_each << 20)))
+    return max(least, min(MOST_PARTITIONS, -(-size // (mb_each << 20))))
 
 
 def stable(df: DataFrame, scratch: Scratch, name: str = "input") -> DataFrame:

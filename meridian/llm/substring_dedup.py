@@ -4,7 +4,7 @@ A difference cover D modulo v holds, for any two residues, a shift below v that
 ``window`` words, wherever they start, therefore share an anchor of ``window - v + 1`` words that starts at a cover
 position of either document. Only those anchors are hashed and shuffled (|D|/v of all positions). Around anchors that
 occur again the match is extended: every full window that holds such an anchor is hashed in 96 bits, and those that
-occur again are what is removed. Both rounds use one packed shuffle (``repeats``), so a passage that a third of the
+occur again are what is removed (the last 32 bits from a word hash of their own). Both rounds use one packed shuffle (``repeats``), so a passage that a third of the
 documents share never meets in one task, and no pairs of documents are formed.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .repeats import BLOCK_SCHEMA, Packer, positions_seen_again
 from .scratch import Scratch, partitions_for, stable
-from .textcore import WORD_BASE, WORD_BASE2, chunks, kept_text, spans_hash, word_hashes, words
+from .textcore import chunks, kept_text, window_hashes, word_hashes, words
 
 #: Perfect difference sets (every difference but 0 exactly once) by their modulus.
 DIFFERENCE_COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
@@ -50,7 +50,7 @@ def _anchors(window: int, parts: int):
             pos = np.arange(len(starts)) - woff[doc]
             at = np.flatnonzero(in_cover[pos % v] & (pos + size <= n[doc]) & (n[doc] >= window))
             if len(at):
-                key = spans_hash(word_hashes(data, starts, ends), at, at + size, WORD_BASE)
+                key = window_hashes(word_hashes(data, starts, ends), size)[at]
                 yield from packer.add(key, np.zeros(len(at), np.uint32), dk[doc[at]], pos[at])
         yield from packer.flush()
 
@@ -73,9 +73,8 @@ def _windows(window: int, parts: int):
             np.add.at(edge, np.minimum(g, woff[doc_of] + n[doc_of] - window) + 1, -1)
             at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             if len(at):
-                h = word_hashes(data, starts, ends)
-                key = spans_hash(h, at, at + window, WORD_BASE)
-                extra = (spans_hash(h, at, at + window, WORD_BASE2) >> np.uint64(32)).astype(np.uint32)
+                key = window_hashes(word_hashes(data, starts, ends), window)[at]
+                extra = (window_hashes(word_hashes(data, starts, ends, salt=1), window)[at] >> np.uint64(32)).astype(np.uint32)
                 doc = np.searchsorted(woff, at, "right") - 1
                 yield from packer.add(key, extra, dk[doc], at - woff[doc])
         yield from packer.flush()
@@ -131,6 +130,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     info = scratch.write(_info(rows), "info")  # a digest a row, read four times
     # copies of whole documents are judged by their digest and enter the second round once
     copies = info.where(f"n_words >= {int(window)}").groupBy("sha").agg(F.min("dk").alias("kept_dk"), F.count("*").alias("n")).where("n > 1").select("sha", "kept_dk")
+    copies = scratch.write(copies, "copies")  # a scan, not an aggregate: a hot digest's partition may be split in the join
     judged = info.join(copies, "sha", "left")
     anchors = positions_seen_again(text.mapInArrow(_anchors(window, parts), BLOCK_SCHEMA), parts)
     spare = judged.where("kept_dk is not null and kept_dk <> dk").select("dk")

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Fixed odd bases of the polynomial hashes and multipliers of the final mixing.
-BYTE_BASE, WORD_BASE, WORD_BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+#: Salts of independent hash functions, and the multipliers of mixing.
+SALTS = (U64(0x9E3779B97F4A7C15), U64(0xA0761D6478BD642F))
+MIX_A, MIX_B, JOIN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93)
 #: The six ASCII white-space characters that separate words.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -65,22 +65,6 @@ def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray | None = None)
     return starts, ends, np.searchsorted(starts, offs)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        one = np.ones(1, U64)
-        with np.errstate(over="ignore"):
-            have = tuple(np.cumprod(np.concatenate([one, np.full(size - 1, U64(b))]), dtype=U64) for b in (base, pow(base, -1, 1 << 64)))
-        if size <= 1 << 22:  # a very long document doesn't keep its table in memory
-            _POWERS[base] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> U64(30))) * MIX_A
@@ -88,17 +72,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def spans_hash(terms: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of terms[start:end] for each span, equal for equal content wherever it stands."""
-    pw, inv = powers(base, len(terms) + 1)
-    total = np.zeros(len(terms) + 1, U64)
+#: Places in a word whose terms are looked up; later places are mixed one by one, to the same effect.
+_PLACES = 64
+_TERMS = [mix(np.arange(_PLACES << 8, dtype=U64) + salt) for salt in SALTS]
+
+
+def word_sums(data: np.ndarray, starts: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Running sums of a random number for each (byte, place in its word): the difference of two within a word tells its bytes.
+
+    The numbers have no algebra between places, unlike the powers of a polynomial hash, so no family of texts collides.
+    """
+    total = np.zeros(len(data) + 1, U64)
+    if not len(starts):
+        return total
+    place = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(data)))).astype(place.dtype)
+    terms = _TERMS[salt][np.minimum(place, _PLACES - 1) << 8 | data]
+    far = np.flatnonzero(place >= _PLACES)
+    if len(far):
+        terms[far] = mix((place[far].astype(U64) << U64(8) | data[far]) + SALTS[salt])
+    np.cumsum(terms, out=total[1:])
+    return total
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0, total: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each word; with ``total`` (of word_sums), of its bytes up to ``ends``."""
+    total = word_sums(data, starts, salt) if total is None else total
     with np.errstate(over="ignore"):
-        np.cumsum(terms * pw[: len(terms)], out=total[1:])
-        return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(U64))
+        return mix(total[ends] - total[starts] + (ends - starts).astype(U64))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans_hash(data.astype(U64) + U64(1), starts, ends, BYTE_BASE)
+def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(x + (y << U64(23) | y >> U64(41)) * JOIN)
+
+
+def window_hashes(words_: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` words (len - size + 1 of them), joined from halves, quarters and so on."""
+    out, have, block, k = None, 0, words_, 1
+    while have < size:
+        if size & k:
+            out = block if out is None else _join(out[: max(0, len(block) - have)], block[have:])
+            have += k
+        k *= 2
+        if have < size:
+            block = _join(block[: max(0, len(block) - k // 2)], block[k // 2 :])
+    return out[: max(0, len(words_) - size + 1)]
+
+
+def whole_hashes(words_: np.ndarray, at: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each document's words, whose offsets are ``at``."""
+    n = np.diff(at)
+    total = np.zeros(len(words_) + 1, U64)
+    with np.errstate(over="ignore"):
+        place = np.arange(len(words_), dtype=np.int64) - np.repeat(at[:-1], n)
+        np.cumsum(mix(words_ + (place + 1).astype(U64) * SALTS[salt]), out=total[1:])
+        return mix(total[at[1:]] - total[at[:-1]] + n.astype(U64) + SALTS[salt])
 
 
 def kept_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:

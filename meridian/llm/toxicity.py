@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .boosting import calibrated, fit_trees, isotonic
 from .scratch import Scratch
-from .textcore import BYTE_BASE, WHITE, chunks, spans_hash, words
+from .textcore import WHITE, chunks, word_hashes, word_sums, words
 from .training import held_out, labelled_sample
 
 #: Insults and second-person words in the four languages of the corpus.
@@ -50,20 +50,15 @@ def _hash_all(items: list[str]) -> np.ndarray:
     raw = [x.encode() for x in items]
     data = np.frombuffer(b"".join(raw), np.uint8)
     ends = np.cumsum([len(x) for x in raw])
-    return np.sort(_hash(data, ends - [len(x) for x in raw], ends))
-
-
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans_hash(data.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE)
+    return np.sort(word_hashes(data, ends - [len(x) for x in raw], ends))
 
 
 def _stems(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """(words, 1 + lengths) hashes: of the whole word (negated) and of its beginnings, 0 where the word is no longer than that."""
-    terms = data.astype(np.uint64) + np.uint64(1)
-    out = [~spans_hash(terms, starts, ends, BYTE_BASE)]
+    total = word_sums(data, starts)
+    out = [~word_hashes(data, starts, ends, total=total)]
     for k in STEM_BYTES:
-        to = np.minimum(starts + k, ends)
-        out.append(np.where(ends - starts > k, spans_hash(terms, starts, to, BYTE_BASE), np.uint64(0)))
+        out.append(np.where(ends - starts > k, word_hashes(data, starts, np.minimum(starts + k, ends), total=total), np.uint64(0)))
     return np.stack(out, axis=1)
 
 
