@@ -3,12 +3,13 @@
 A line's tokens lead it down the tree: token count, then its first ``depth`` tokens, with tokens that hold a digit already
 generalised to ``<*>``. A leaf holds any number of templates: forms that agree in at least ``similarity`` of their
 positions are one, over any chain of such forms, and the positions in which they differ are its variable fields, however
-common one value is. A template found in ``min_docs`` documents recurs: its lines are dropped from every document but the
-first.
+common one value is. A leading token is generalised too where its node has ``children`` or more children that lead to
+lines equal in all else (lines of ``WILD_TOKENS`` tokens and more). A template found in ``min_docs`` documents recurs: its
+lines are dropped from every document but the first.
 
 A leaf's tokens are looked at only where the leaf holds several forms in ``min_docs`` documents. Counts are partial
 sums before any shuffle; a line that all documents share is one row for each task, and its lines come back by a join
-that may be split.
+that may be split. Every step takes time in proportion to a line's length.
 """
 
 from __future__ import annotations
@@ -16,39 +17,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .linking import linked_groups
 from .scratch import Scratch, stable
 
 FIELD = "<*>"
 #: Leaves (8 bytes each) that are broadcast at most; more of them join by shuffle.
 BROADCAST_LEAVES = 1_000_000
+#: Lines of fewer tokens keep their leading tokens: one field would leave too little that is fixed.
+WILD_TOKENS = 5
 
 
-def _masked(text: Column) -> Column:
-    """Lines of tokens by single spaces, those with a digit generalised; one pass over the whole text."""
-    flat = F.translate(text, "\t\r\u000b\f", "    ")
-    flat = F.when(flat.contains("  "), F.regexp_replace(flat, "  +", " ")).otherwise(flat)
-    return F.regexp_replace(flat, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", FIELD)
+def _flat(text: Column) -> Column:
+    """Tokens by single spaces; texts that are so already, as most are, are only looked through."""
+    spaced = F.when(text.rlike(r"[\t\r\u000b\f]"), F.translate(text, "\t\r\u000b\f", "    ")).otherwise(text)
+    return F.when(spaced.contains("  "), F.regexp_replace(spaced, "  +", " ")).otherwise(spaced)
 
 
-def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_docs: int = 2, min_tokens: int = 1) -> DataFrame:
+def _masked(line: Column) -> Column:
+    """A line with the tokens that hold a digit generalised."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
+
+
+def _wild(depth: int) -> Column:
+    """For each leading place, a key of the form without its token there."""
+    t = F.split("form", " ", depth + 1)
+    keys = [F.xxhash64(F.lit(p), "size", *[F.get(t, F.lit(k)) for k in range(depth + 1) if k != p]) for p in range(depth)]
+    return F.when(F.col("size") >= max(WILD_TOKENS, depth + 1), F.array(*keys))
+
+
+def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_docs: int = 2, min_tokens: int = 1, children: int = 4) -> DataFrame:
     """(dk, i): the lines to drop of ``docs(dk, text)``; i counts from 0."""
-    # masked before the lines are taken apart, so that the pattern runs once
-    lines = docs.select("dk", _masked(F.col("text")).alias("masked")).select("dk", F.posexplode(F.split("masked", "\n")).alias("i", "line")).select("dk", "i", F.trim("line").alias("form"))
-    lines = lines.withColumn("size", F.length("form") - F.length(F.translate("form", " ", "")) + 1).where(f"form not in ('', '{FIELD}') and size >= {int(min_tokens)}")
+    lines = docs.select("dk", F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("i", "line")).select("dk", "i", _masked(F.trim("line")).alias("form"))
+    lines = lines.where(f"form not in ('', '{FIELD}')").withColumn("size", F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1).where(f"size >= {int(min_tokens)}")
     leaf = F.xxhash64("size", F.substring_index("form", " ", depth))
-    lines = scratch.write(lines.select("dk", "i", leaf.alias("leaf"), F.xxhash64("form", "size").alias("tmpl"), "form"), "lines")
-    digests = lines.select("dk", "i", "leaf", "tmpl")
-    # documents by (leaf, form), then by leaf
-    forms = digests.groupBy("leaf", "tmpl").agg(F.count("*").alias("n"), F.min("dk").alias("lo"), F.max("dk").alias("hi"))
+    lines = scratch.write(lines.select("dk", "i", leaf.alias("leaf"), F.xxhash64("form", "size").alias("tmpl"), _wild(depth).alias("wild"), "form"), "lines")
+    digests = lines.select("dk", "i", "tmpl")
+    one = [F.first(F.get("wild", F.lit(p))).alias(f"w{p}") for p in range(depth)]
+    forms = lines.groupBy("tmpl").agg(F.count("*").alias("n"), F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.first("leaf").alias("leaf"), *one)
+    forms = scratch.write(forms, "forms")  # a row of numbers for each form, read three times
     wide = forms.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("forms"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    wide = wide.where(f"forms > 1 and n >= {int(min_docs)} and lo <> hi").select("leaf")
-    wide = scratch.write(wide, "wide")
+    wide = scratch.write(wide.where(f"forms > 1 and n >= {int(min_docs)} and lo <> hi").select("leaf"), "wide")
     wide = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
     # one line of each form of such a leaf: which are alike?
     spread = lines.select("leaf", "tmpl", "form").join(wide, "leaf", "left_semi").groupBy("tmpl").agg(F.first("leaf").alias("leaf"), F.first("form").alias("form"))
-    spread = scratch.write(spread.withColumn("size", F.size(F.split("form", " "))), "spread")
+    spread = scratch.write(spread.select("leaf", "tmpl", F.split("form", " ").alias("t")).withColumn("size", F.size("t")), "spread")
     merged = linked_groups(_segments(spread, depth, similarity), lambda pairs: _alike(pairs, spread, similarity), scratch)
+    # forms that differ in one leading token only, where that token has many values
+    keyed = forms.where("w0 is not null").select("tmpl", "lo", "hi", F.explode(F.array(*[f"w{p}" for p in range(depth)])).alias("w"))
+    nodes = keyed.groupBy("w").agg(F.count("*").alias("c"), F.min("tmpl").alias("head"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    nodes = scratch.write(nodes.where(f"c >= {int(children)} and lo <> hi").select("w", "head"), "nodes")
+    wild = scratch.write(keyed.join(nodes, "w").where("tmpl <> head").select(F.col("tmpl").alias("u"), F.col("head").alias("v")), "wild")
+    if not wild.isEmpty():
+        merged = connected_components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(wild), Scratch(docs.sparkSession))
     merged = scratch.write(merged.select(F.col("node").alias("tmpl"), "component"), "merged")
     shared = digests.join(merged, "tmpl", "left").select("dk", "i", F.when(F.col("component").isNotNull(), F.xxhash64("component", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
     shared = scratch.write(shared, "shared")  # read twice below
@@ -60,13 +81,15 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
 
 def _segments(spread: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(key, node): two forms of a leaf that differ in at most ``most`` tokens share one of ``most + 1`` segments of the rest."""
-    rows = spread.select("leaf", F.col("tmpl").alias("node"), F.split("form", " ").alias("t"), "size", _most("size", similarity).alias("most"))
-    rows = rows.withColumn("rest", F.greatest(F.col("size") - depth, F.lit(0)).cast("int"))
-    one = F.col("rest") <= F.col("most")  # any two forms of the leaf are alike
-    rows = rows.withColumn("parts", F.when(one, 1).otherwise(F.col("most") + 1)).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s"))
-    start, stop = F.expr("cast(s * rest div parts as int)"), F.expr("cast((s + 1) * rest div parts as int)")
-    own = F.when(F.col("rest") <= F.col("most"), F.lit("")).otherwise(F.array_join(F.slice("t", depth + 1 + start, stop - start), " "))
-    return rows.select(F.xxhash64("leaf", "s", own).alias("key"), "node")
+    rows = spread.select("leaf", F.col("tmpl").alias("node"), "t", _most("size", similarity).alias("most"), F.greatest(F.col("size") - depth, F.lit(0)).alias("rest"))
+    rows = rows.withColumn("parts", F.when(F.col("rest") <= F.col("most"), 1).otherwise(F.col("most") + 1))  # 1: any two forms of the leaf are alike
+
+    def key(s: Column) -> Column:
+        start, stop = (F.floor(x * F.col("rest") / F.col("parts")).cast("int") for x in (s, s + 1))
+        return F.xxhash64("leaf", s, F.when(F.col("parts") == 1, F.lit("")).otherwise(F.array_join(F.slice("t", start + (depth + 1), stop - start), " ")))
+
+    # hashed before they are dealt out, so that a row holds a hash and not the line
+    return rows.select("node", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), key).alias("keys")).select(F.explode("keys").alias("key"), "node")
 
 
 def _most(size: str, similarity: float) -> Column:
@@ -75,7 +98,7 @@ def _most(size: str, similarity: float) -> Column:
 
 
 def _alike(pairs: DataFrame, spread: DataFrame, similarity: float) -> DataFrame:
-    u, v = spread.select(F.col("tmpl").alias("u"), F.split("form", " ").alias("a"), "size"), spread.select(F.col("tmpl").alias("v"), F.split("form", " ").alias("b"), F.col("size").alias("other"))
+    u, v = spread.select(F.col("tmpl").alias("u"), F.col("t").alias("a"), "size"), spread.select(F.col("tmpl").alias("v"), F.col("t").alias("b"), F.col("size").alias("other"))
     differ = F.size(F.filter(F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
     return pairs.join(u, "u").join(v, "v").where((F.col("size") == F.col("other")) & (differ <= _most("size", similarity))).select("u", "v")
 
@@ -93,8 +116,10 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) ->
     packed = docs.select(F.struct(F.lit(0).alias(text_col), *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("dk", F.monotonically_increasing_id())
     gone = scratch.write(tag_lines(packed.where("text is not null").select("dk", "text"), scratch, **options), "gone").groupBy("dk").agg(F.collect_list("i").alias("gone"))
     out = packed.join(gone.hint("shuffle_merge"), "dk", "left")  # alike at every size: texts are shuffled once
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i))
+    # the lines become a column once, and those that stay are picked by number
+    out = out.withColumn("lines", F.explode(F.array(F.when(F.col("gone").isNotNull(), F.split("text", "\n")))))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     names = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     return out.select(*names, n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_dropped"))
