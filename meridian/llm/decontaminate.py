@@ -1,13 +1,19 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
-Numbers, names and units become typed placeholders, so that a question with other parameters keeps its template. Windows
-of ``words_each`` canonical tokens of benchmark and documents meet in a hash join; a document holds an item if at least
-``similarity`` of the item's windows occur in it. Where windows hold placeholders, their slots must agree: within one
-alignment an item's value stands for one value of the document throughout, and values that differ in the item differ in
-the document; an alignment that fails counts only by its windows without placeholders.
+Numbers (words, fractions and sums such as 2+3 too), names and units become typed placeholders, so that a question with
+other parameters keeps its template. A capitalised word that begins a sentence may be a name or not, so windows that hold
+one are looked up both ways. Windows of ``words_each`` canonical tokens of benchmark and documents meet in a hash join; a
+document holds an item if at least ``similarity`` of the item's windows occur in it. Where windows hold placeholders, their
+slots must agree: within one alignment an item's value stands for one value of the document throughout, and values that
+differ in the item differ in the document; an alignment that fails counts only by its windows without placeholders.
+
+Windows with fewer than ``LITERALS`` literal tokens (one, for an item of one token) fit anything and aren't looked up or
+counted; an item that has no other is found by its raw tokens. An item of fewer than ``words_each`` words is one window of
+what it has, and documents are cut at that length as well.
 
 The benchmark's side is broadcast only when its windows were counted and are at most ``BROADCAST_WINDOWS``; a larger one
-joins by shuffle. Document windows are hashed inside generated code; only hits travel further.
+joins by shuffle, in which a document's window is three numbers. Document windows are hashed inside generated code; the
+tokens are fetched for hits only.
 """
 
 from __future__ import annotations
@@ -18,91 +24,122 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, stable
 
 BROADCAST_WINDOWS = 200_000
-#: Unit words that follow a number.
+LITERALS = 2
+#: Unit words that follow a number, and number words.
 UNITS = "km|m|cm|mm|mi|miles|meters|metres|kilometers|kg|g|mg|lb|lbs|pounds|ounces|oz|grams|l|ml|liters|litres|gallons|s|sec|seconds|min|minutes|h|hours|hrs|days|weeks|months|years|dollars|euros|cents|percent|mph|kmh|degrees"
-NUM, NAME, UNIT = "\u0001", "\u0002", "\u0003"
+NUMBER_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|half|third|quarter|dozen"
+NUM, NAME, UNIT, FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
 _SPACE = r"[\x20\x09-\x0D]+"
+_TITLE = r"""(\p{Lu}\p{Ll}+)(?=$|[ .,;:!?'")])"""
+_KINDS = f"[{NUM}{NAME}{UNIT}]"
 
 
-def raw_tokens(text: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(text, _SPACE, " ")), " ")
+def _flat(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.translate(text, NUM + NAME + UNIT + FIRST, "    "), _SPACE, " "))
 
 
-def canonical_tokens(text: Column) -> Column:
-    """One canonical token for each raw token: lower case without punctuation, numbers, names and units as placeholders.
+def raw_tokens(text: Column) -> Column:
+    return F.split(_flat(text), " ")
 
-    A name is a capitalised word that follows a lower-case word or a comma, so not the first of a sentence.
-    """
-    flat = F.trim(F.regexp_replace(text, _SPACE, " "))
-    named = F.regexp_replace(flat, r"(?<=[a-z,] )\p{Lu}\p{Ll}+(?=$|[ .,;:!?'\")])", NAME)
+
+def canonical(text: Column) -> Column:
+    """The text's canonical tokens by single spaces, one for each raw token: lower case without punctuation, placeholders
+    for numbers, names (capitalised words) and units, and FIRST before a capitalised word that begins a sentence."""
+    marked = F.regexp_replace(_flat(text), rf"""(?<=^["'(]{{0,1}}|[.!?:]["')]{{0,1}} ["'(]{{0,1}}){_TITLE}""", FIRST + "$1")
+    named = F.regexp_replace(marked, rf"""(?<![^ "'(]){_TITLE}""", NAME)
     plain = F.translate(F.lower(named), ".,;:!?\"'()[]{}*#$%&|_-", "")
-    numbers = F.when(plain.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(plain, r"(?<![^ ])[0-9]+(?=[^ 0-9]|$| )", NUM), rf"(?<={NUM})( ?)(?:{UNITS})(?=$| )", f"$1{UNIT}")).otherwise(plain)
-    return F.split(numbers, " ")
+    numbers = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[0-9]+", NUM)).otherwise(plain)
+    words = F.regexp_replace(numbers, rf"(?<![^ ])(?:{NUMBER_WORDS})(?![^ ])", NUM)
+    return F.when(words.contains(NUM), F.regexp_replace(words, rf"(?<={NUM})( ?)(?:{UNITS})(?= |$)", f"$1{UNIT}")).otherwise(words)
+
+
+def tokens(rows: DataFrame, key: str) -> DataFrame:
+    """(key, raw, canon, named): the raw tokens and both readings of the words that begin sentences, of rows with any."""
+    flat = rows.select(key, raw_tokens(F.col("text")).alias("raw"), canonical(F.col("text")).alias("c")).where("size(raw) > 0 and raw[0] <> ''")
+    return flat.select(key, "raw", F.split(F.translate("c", FIRST, ""), " ").alias("canon"), F.split(F.regexp_replace("c", f"{FIRST}[^ ]*", NAME), " ").alias("named"))
+
 
+def windows(cut: DataFrame, key: str, words_each: int) -> DataFrame:
+    """(key, raw, canon, named, at, as_name, h, literals) for every window and reading of ``cut``; a shorter text is one window."""
+    at = cut.select(key, "raw", "canon", "named", F.explode(F.sequence(F.lit(0), F.greatest(F.size("canon") - words_each, F.lit(0)))).alias("at"))
 
-def windows(rows: DataFrame, key: str, words_each: int) -> DataFrame:
-    """(key, at, h, literals, canon array, raw array) for every window of ``rows(key, text)``; a shorter text is one window."""
-    cut = rows.select(key, raw_tokens(F.col("text")).alias("raw"), canonical_tokens(F.col("text")).alias("canon")).where("size(raw) > 0 and raw[0] <> ''")
-    at = cut.select(key, "raw", "canon", F.explode(F.sequence(F.lit(0), F.greatest(F.size("canon") - words_each, F.lit(0)))).alias("at"))
-    tokens = [F.get("canon", F.col("at") + k) for k in range(words_each)]
-    literals = sum((F.when(t.isNull() | t.rlike(f"[{NUM}{NAME}{UNIT}]") | (t == ""), 0).otherwise(1) for t in tokens), F.lit(0))
-    return at.select(key, "at", "raw", "canon", F.xxhash64(*tokens).alias("h"), literals.alias("literals"))
+    def reading(name: str, as_name: bool) -> Column:
+        own = [F.get(name, F.col("at") + k) for k in range(words_each)]
+        literals = sum((F.when(t.isNull() | t.rlike(_KINDS) | (t == ""), 0).otherwise(1) for t in own), F.lit(0))
+        return F.struct(F.lit(as_name).alias("as_name"), F.xxhash64(*own).alias("h"), literals.alias("literals"))
+
+    both = at.select(key, "raw", "canon", "named", "at", reading("canon", False).alias("r"), reading("named", True).alias("s"))
+    each = F.explode(F.when(F.col("r.h") == F.col("s.h"), F.array("r")).otherwise(F.array("r", "s"))).alias("r")
+    return both.select(key, "raw", "canon", "named", "at", each).select(key, "raw", "canon", "named", "at", "r.*")
 
 
 def _raw_hash(words_each: int) -> Column:
     return F.xxhash64(*[F.get("raw", F.col("at") + k) for k in range(words_each)])
 
 
+def _slots(n: int) -> Column:
+    """(a, b) of the places of a window that are placeholders in the document's reading: the item's and the document's token."""
+    end = r"^[\"'(]+|[.,;:!?\"')]+$"
+    own = F.slice(F.when(F.col("as_name"), F.col("named")).otherwise(F.col("canon")), F.col("at") + 1, n)
+    pair = lambda c, k: F.struct(c.rlike(_KINDS).alias("slot"), F.lower(F.regexp_replace(F.get("item_raw", k), end, "")).alias("a"), F.lower(F.regexp_replace(F.get("raw", F.col("at") + k), end, "")).alias("b"))
+    held = F.filter(F.transform(own, pair), lambda s: s["slot"] & s["a"].isNotNull())
+    return F.transform(held, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
+
+
+def _hits(docs: DataFrame, side: DataFrame, n: int, raw: bool, few: bool) -> DataFrame:
+    """(dk, item, item_at, shift, slots) of windows of ``n`` tokens that documents share with ``side``; ``few``: broadcast it."""
+    cut = windows(tokens(docs, "dk"), "dk", n)
+    if raw:
+        met = cut.where("not as_name").withColumn("h", _raw_hash(n)).select("dk", "at", "h").join(F.broadcast(side) if few else side, "h")
+        return met.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.expr("cast(array() as array<struct<a: string, b: string>>)").alias("slots"))
+    if few:
+        met = cut.join(F.broadcast(side), "h")
+    else:
+        found = cut.select("dk", "at", "as_name", "h").join(side, "h").groupBy("dk").agg(F.collect_list(F.struct("at", "as_name", "item", "item_at", "item_raw")).alias("found"))
+        met = tokens(docs.join(found.select("dk"), "dk", "left_semi"), "dk").join(found, "dk").select("dk", "raw", "canon", "named", F.explode("found").alias("f")).select("dk", "raw", "canon", "named", "f.*")
+    return met.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), _slots(n).alias("slots"))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, words_each: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
-    """(dk, item, matched, n_windows, consistent): the items that ``docs(dk, text)`` hold, of ``benchmark(item, text)``."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    """(dk, item, matched, n_windows, consistent): the items that ``docs(dk, text)`` hold, of ``benchmark(item, text)``.
+
+    Null texts and blank ones hold nothing and aren't items. Items of equal text are one, the smallest; a row of
+    ``docs`` holds an item once, however often its text does. ``docs`` has a ``dk`` of its own for each row.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
     texts = benchmark.where("text is not null").groupBy("text").agg(F.min("item").alias("item"))
-    every = windows(texts, "item", words_each)
-    # the first word's case may be a sentence's or a name's: the first window may match either way
-    least = F.least(F.size("canon"), F.lit(2))
-    tokens = [F.when((F.lit(k) == 0) & F.get("raw", F.lit(0)).rlike(r"^\p{Lu}\p{Ll}+$"), F.lit(NAME)).otherwise(F.get("canon", F.lit(k))) for k in range(words_each)]
-    named = every.where("at = 0").withColumn("h", F.xxhash64(*tokens))
-    keyed = every.unionByName(named).where(F.col("literals") >= least).dropDuplicates(["item", "at", "h"])
-    bench = scratch.write(keyed.select("item", F.col("at").alias("item_at"), "h", F.slice("raw", F.col("at") + 1, words_each).alias("item_raw")), "bench")
+    every = windows(tokens(texts, "item"), "item", words_each)
+    own = F.slice("raw", F.col("at") + 1, words_each).alias("item_raw")
+    least = F.least(F.size("canon"), F.lit(LITERALS))
+    bench = scratch.write(every.where(F.col("literals") >= least).dropDuplicates(["item", "at", "h"]).select("item", F.col("at").alias("item_at"), "h", own), "bench")
     # items whose windows hold too few literals are found by their raw tokens
-    bare = every.join(bench.select("item").distinct(), "item", "left_anti").withColumn("h", _raw_hash(words_each))
-    bare = scratch.write(bare.select("item", F.col("at").alias("item_at"), "h", F.slice("raw", F.col("at") + 1, words_each).alias("item_raw")), "bare")
+    bare = every.where("not as_name").join(bench.select("item").distinct(), "item", "left_anti").withColumn("h", _raw_hash(words_each))
+    bare = scratch.write(bare.select("item", F.col("at").alias("item_at"), "h", own), "bare")
     sizes = bench.union(bare).groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
-    side = F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench
-    n_bare = bare.count()
-    bare_side = F.broadcast(bare) if n_bare <= BROADCAST_WINDOWS else bare
-    # an item of fewer words is one shorter window, so documents are cut at its length too
-    short = [r[0] for r in bench.union(bare).select(F.size("item_raw")).distinct().collect() if r[0] < words_each]
-    hits = raw_hits = None
-    for n in [words_each, *sorted(short)]:
-        cut, fits = windows(docs, "dk", n), F.lit(True) if n == words_each else F.size("item_raw") == n
-        found = cut.join(side.where(fits), "h").select("dk", "item", "item_at", "at", F.slice("canon", F.col("at") + 1, n).alias("canon"), F.slice("raw", F.col("at") + 1, n).alias("raw"), "item_raw")
-        hits = found if hits is None else hits.union(found)
-        if n_bare:
-            exact = cut.withColumn("h", _raw_hash(n)).join(bare_side.where(fits), "h").select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
-            raw_hits = exact if raw_hits is None else raw_hits.union(exact)
-    slot = F.filter(
-        F.transform("canon", lambda c, k: F.struct((c.rlike(f"[{NUM}{NAME}{UNIT}]")).alias("slot"), F.lower(F.regexp_replace(F.get("item_raw", k), r"[.,;:!?]+$", "")).alias("a"), F.lower(F.regexp_replace(F.get("raw", k), r"[.,;:!?]+$", "")).alias("b"))),
-        lambda s: s["slot"] & s["a"].isNotNull(),
-    )
-    hits = hits.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.transform(slot, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))).alias("slots"))
-    if raw_hits is not None:
-        hits = hits.unionByName(raw_hits.withColumn("slots", F.expr("cast(array() as array<struct<a: string, b: string>>)")))
+    hits = None
+    for side, raw in ((bench, False), (bare, True)):
+        rows = side.count()
+        if not rows and raw:
+            continue
+        # an item of fewer words is one shorter window, so documents are cut at its length too
+        short = [r[0] for r in side.select(F.size("item_raw")).distinct().collect() if r[0] < words_each]
+        for n in [words_each, *sorted(short)]:
+            found = _hits(docs, side if n == words_each else side.where(F.size("item_raw") == n), n, raw, rows <= BROADCAST_WINDOWS)
+            hits = found if hits is None else hits.unionByName(found)
     hits = scratch.write(hits.distinct(), "hits")
     # slots of one alignment: as many values on either side as pairs of values
     pairs = hits.select("dk", "item", "shift", F.explode("slots").alias("s")).distinct()
     agreed = pairs.groupBy("dk", "item", "shift").agg((F.greatest(F.count("*") - F.countDistinct("s.a"), F.count("*") - F.countDistinct("s.b")) == 0).alias("agrees"))
     judged = hits.join(agreed, ["dk", "item", "shift"], "left").withColumn("ok", (F.size("slots") == 0) | F.coalesce("agrees", F.lit(True)))
     found = judged.groupBy("dk", "item").agg(F.countDistinct(F.when(F.col("ok"), F.col("item_at"))).alias("matched"), F.min("ok").alias("consistent"))
-    return found.join(F.broadcast(sizes) if side is not bench else sizes, "item").where(F.col("matched") >= similarity * F.col("n_windows")).select("dk", "item", "matched", "n_windows", "consistent")
+    return found.join(sizes, "item").where(F.col("matched") >= similarity * F.col("n_windows")).select("dk", "item", "matched", "n_windows", "consistent")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **options) -> DataFrame:
     """(id, item, matched, n_windows): a row for each document and benchmark item that it holds; none for clean documents.
 
-    Null texts hold nothing; equal benchmark texts are one item (the smallest id). Items of fewer words than a window
-    are one window of what they have. Items without a window of two literal words are found by their raw tokens. Repeated document rows repeat theirs.
+    Null, empty and blank texts hold nothing and are no items; equal benchmark texts are one item (the smallest id).
+    Repeated document rows repeat theirs. Other columns of either table are ignored; an empty one gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     rows = stable(docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")), scratch).withColumn("dk", F.monotonically_increasing_id())
