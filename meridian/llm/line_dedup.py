@@ -4,11 +4,11 @@ A line's tokens lead it down the tree: token count, then its first ``depth`` tok
 generalised to ``<*>``. A leaf holds any number of templates: forms that agree in at least ``similarity`` of their
 positions are one, over any chain of such forms, and the positions in which they differ are its variable fields, however
 common one value is. A leading token is generalised too where its node has ``children`` or more children that lead to
-lines equal in all else (lines of ``WILD_TOKENS`` tokens and more). A template found in ``min_docs`` documents recurs: its
-lines are dropped from every document but the first.
+lines equal in all else (lines of ``WILD_TOKENS`` tokens and more). A template found in two documents recurs: its lines
+are dropped from every document but the first.
 
-A leaf's tokens are looked at only where the leaf holds several forms in ``min_docs`` documents. Counts are partial
-sums before any shuffle; a line that all documents share is one row for each task, and its lines come back by a join
+A leaf's tokens are looked at only where the leaf holds several forms and documents. Minima and maxima are taken before any
+shuffle; a line that all documents share is one row for each task, and its lines come back by a join
 that may be split. Every step takes time in proportion to a line's length.
 """
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
 from .linking import linked_groups
 from .scratch import Scratch, stable
 
@@ -30,8 +29,7 @@ WILD_TOKENS = 5
 
 def _flat(text: Column) -> Column:
     """Tokens by single spaces; texts that are so already, as most are, are only looked through."""
-    spaced = F.when(text.rlike(r"[\t\r\u000b\f]"), F.translate(text, "\t\r\u000b\f", "    ")).otherwise(text)
-    return F.when(spaced.contains("  "), F.regexp_replace(spaced, "  +", " ")).otherwise(spaced)
+    return F.when(text.rlike(r"[\t\r\u000b\f]|  "), F.regexp_replace(text, r"[\t\r\u000b\f ]+", " ")).otherwise(text)
 
 
 def _masked(line: Column) -> Column:
@@ -39,43 +37,47 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(line)
 
 
-def _wild(depth: int) -> Column:
-    """For each leading place, a key of the form without its token there."""
-    t = F.split("form", " ", depth + 1)
-    keys = [F.xxhash64(F.lit(p), "size", *[F.get(t, F.lit(k)) for k in range(depth + 1) if k != p]) for p in range(depth)]
-    return F.when(F.col("size") >= max(WILD_TOKENS, depth + 1), F.array(*keys))
+def _once(value: Column) -> Column:
+    """``value`` as a generated column: worked out once a row, however often it is read, and not again below a filter."""
+    return F.explode(F.array(value))
 
 
-def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_docs: int = 2, min_tokens: int = 1, children: int = 4) -> DataFrame:
+def _wild(depth: int) -> list[Column]:
+    """For each leading place, a key of the form without its token there; ``t`` holds the leading tokens and the rest."""
+    return [F.xxhash64(F.lit(p), "size", *[F.get("t", F.lit(k)) for k in range(depth + 1) if k != p]) for p in range(depth)]
+
+
+def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: float = 0.7, min_tokens: int = 1, children: int = 4) -> DataFrame:
     """(dk, i): the lines to drop of ``docs(dk, text)``; i counts from 0."""
-    lines = docs.select("dk", F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("i", "line")).select("dk", "i", _masked(F.trim("line")).alias("form"))
-    lines = lines.where(f"form not in ('', '{FIELD}')").withColumn("size", F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1).where(f"size >= {int(min_tokens)}")
-    leaf = F.xxhash64("size", F.substring_index("form", " ", depth))
-    lines = scratch.write(lines.select("dk", "i", leaf.alias("leaf"), F.xxhash64("form", "size").alias("tmpl"), _wild(depth).alias("wild"), "form"), "lines")
+    lines = docs.select("dk", F.posexplode(F.split(_flat(F.col("text")), "\n")).alias("i", "line")).select("dk", "i", _once(_masked(F.trim("line"))).alias("form"))
+    lines = lines.where(f"form not in ('', '{FIELD}')").select("dk", "i", "form", _once(F.split("form", " ", depth + 1)).alias("t"))
+    rest = F.get("t", F.lit(depth))
+    size = F.size("t") + F.when(F.size("t") <= depth, 0).otherwise(F.length(rest) - F.length(F.replace(rest, F.lit(" "), F.lit(""))))
+    lines = lines.select("dk", "i", "form", "t", size.alias("size")).where(f"size >= {int(min_tokens)}")
+    leaf = F.xxhash64("size", *[F.get("t", F.lit(k)) for k in range(depth)])
+    wild = F.when(F.col("size") >= max(WILD_TOKENS, depth + 1), F.array(leaf, *_wild(depth))).otherwise(F.array(leaf))
+    lines = scratch.write(lines.select("dk", "i", wild.alias("keys"), F.xxhash64("form").alias("tmpl"), "form"), "lines")
     digests = lines.select("dk", "i", "tmpl")
-    one = [F.first(F.get("wild", F.lit(p))).alias(f"w{p}") for p in range(depth)]
-    forms = lines.groupBy("tmpl").agg(F.count("*").alias("n"), F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.first("leaf").alias("leaf"), *one)
-    forms = scratch.write(forms, "forms")  # a row of numbers for each form, read three times
-    wide = forms.groupBy("leaf").agg(F.sum("n").alias("n"), F.count("*").alias("forms"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    wide = scratch.write(wide.where(f"forms > 1 and n >= {int(min_docs)} and lo <> hi").select("leaf"), "wide")
-    wide = F.broadcast(wide) if wide.count() <= BROADCAST_LEAVES else wide
+    # leaves, and nodes without one leading token, that hold several forms and documents
+    keyed = lines.select("dk", "tmpl", F.posexplode("keys").alias("at", "key"))
+    held = keyed.groupBy("at", "key").agg(F.min("tmpl").alias("a"), F.max("tmpl").alias("b"), F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.count("*").alias("n"))
+    held = scratch.write(held.where(f"a <> b and lo <> hi and (at = 0 or n >= {int(children)})").select("at", "key", F.col("a").alias("u")), "nodes")
+    leaves, nodes = held.where("at = 0").select(F.col("key").alias("leaf")), held.where("at > 0").select("key", "u")
+    leaves = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
     # one line of each form of such a leaf: which are alike?
-    spread = lines.select("leaf", "tmpl", "form").join(wide, "leaf", "left_semi").groupBy("tmpl").agg(F.first("leaf").alias("leaf"), F.first("form").alias("form"))
+    spread = lines.select(F.get("keys", F.lit(0)).alias("leaf"), "tmpl", "form").join(leaves, "leaf", "left_semi").groupBy("tmpl").agg(F.first("leaf").alias("leaf"), F.first("form").alias("form"))
     spread = scratch.write(spread.select("leaf", "tmpl", F.split("form", " ").alias("t")).withColumn("size", F.size("t")), "spread")
-    merged = linked_groups(_segments(spread, depth, similarity), lambda pairs: _alike(pairs, spread, similarity), scratch)
     # forms that differ in one leading token only, where that token has many values
-    keyed = forms.where("w0 is not null").select("tmpl", "lo", "hi", F.explode(F.array(*[f"w{p}" for p in range(depth)])).alias("w"))
-    nodes = keyed.groupBy("w").agg(F.count("*").alias("c"), F.min("tmpl").alias("head"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    nodes = scratch.write(nodes.where(f"c >= {int(children)} and lo <> hi").select("w", "head"), "nodes")
-    wild = scratch.write(keyed.join(nodes, "w").where("tmpl <> head").select(F.col("tmpl").alias("u"), F.col("head").alias("v")), "wild")
-    if not wild.isEmpty():
-        merged = connected_components(merged.select(F.col("node").alias("u"), F.col("component").alias("v")).union(wild), Scratch(docs.sparkSession))
+    members = scratch.write(keyed.where("at > 0").select("key", "tmpl").join(nodes, "key").distinct(), "members")
+    many = scratch.write(members.groupBy("key").count().where(f"count >= {int(children)}").select("key"), "many")
+    fields = scratch.write(members.join(many, "key", "left_semi").where("tmpl <> u").select("u", F.col("tmpl").alias("v")).distinct(), "fields")
+    segments = scratch.write(_segments(spread, depth, similarity), "segments")
+    merged = linked_groups(segments, lambda pairs: _alike(pairs, spread, similarity), scratch, fields)
     merged = scratch.write(merged.select(F.col("node").alias("tmpl"), "component"), "merged")
     shared = digests.join(merged, "tmpl", "left").select("dk", "i", F.when(F.col("component").isNotNull(), F.xxhash64("component", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
     shared = scratch.write(shared, "shared")  # read twice below
-    per_doc = shared.select("dk", "tmpl").distinct()
-    recurring = per_doc.groupBy("tmpl").agg(F.count("*").alias("docs"), F.min("dk").alias("keeper")).where(F.col("docs") >= min_docs).select("tmpl", "keeper")
-    recurring = scratch.write(recurring, "recurring")  # likewise for a hot template
+    recurring = shared.groupBy("tmpl").agg(F.min("dk").alias("keeper"), F.max("dk").alias("last")).where("last <> keeper").select("tmpl", "keeper")
+    recurring = scratch.write(recurring, "recurring")  # a scan: a hot template's partition may be split in the join
     return shared.join(recurring, "tmpl").where("dk <> keeper").select("dk", "i")
 
 

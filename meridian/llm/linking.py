@@ -11,9 +11,9 @@ from .components import connected_components
 from .scratch import Scratch
 
 
-def linked_groups(members: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def linked_groups(members: DataFrame, verified: Callable[[DataFrame], DataFrame], scratch: Scratch, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of ``members(key long, node long)``: nodes linked by chains of pairs that share a key and that
-    ``verified`` keeps of (u, v), u < v. A node without a link may be missing.
+    ``verified`` keeps of (u, v), u < v, and by the links of ``known(u, v)``. A node without a link may be missing.
 
     Each bucket's nodes are checked against its least first. Only pairs whose ends these links leave in different
     components are checked then, so a bucket of like entries costs its size; one of unlike entries costs its square.
@@ -24,10 +24,14 @@ def linked_groups(members: DataFrame, verified: Callable[[DataFrame], DataFrame]
     once = buckets.where("n > 1").groupBy("n", "lo", "x", "y").agg(F.min("key").alias("key")).select("key", "lo")
     held = scratch.write(members.join(once, "key"), "held")
     stars = scratch.write(held.where("node <> lo").select(F.col("lo").alias("u"), F.col("node").alias("v")).distinct(), "stars")
-    links = scratch.write(verified(stars), "links-stars")
+    if known is None:
+        links = scratch.write(verified(stars), "links-stars")
+    else:
+        links = scratch.write(verified(stars.join(known, ["u", "v"], "left_anti")).union(known), "links-stars")
     groups = connected_components(links, Scratch(spark)).withColumnRenamed("component", "label")
     labelled = scratch.write(held.join(groups, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "labelled")
     open_ = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    open_ = scratch.write(open_, "open-keys")  # a scan, not an aggregate: a hot key's partition may be split in the join
     left = scratch.write(labelled.join(open_, "key", "left_semi"), "open")
     right = left.select("key", F.col("node").alias("v"), F.col("label").alias("other"))
     pairs = left.withColumnRenamed("node", "u").join(right, "key").where("u < v and label <> other").select("u", "v").distinct()
@@ -35,4 +39,6 @@ def linked_groups(members: DataFrame, verified: Callable[[DataFrame], DataFrame]
     if pairs.isEmpty():
         return groups.withColumnRenamed("label", "component")
     more = scratch.write(verified(pairs), "links-pairs")
+    if more.isEmpty():
+        return groups.withColumnRenamed("label", "component")
     return connected_components(links.union(more), Scratch(spark))

@@ -57,7 +57,7 @@ def test_a_leading_token_with_many_values_is_a_field(spark):
     assert sum(y in a for y in got) == 1 and set(b + c) <= set(got)
 
 
-def plain(texts, depth=3, similarity=0.7, min_docs=2, children=4):
+def plain(texts, depth=3, similarity=0.7, children=4):
     """The lines that stay, by the rules of the module's docstring."""
     rows = []
     for d, text in enumerate(texts):
@@ -99,7 +99,7 @@ def plain(texts, depth=3, similarity=0.7, min_docs=2, children=4):
     where = {}
     for f, d in docs.items():
         where[label[f]] = where.get(label[f], set()) | d
-    gone = {(d, i) for d, i, f in rows if len(where[label[f]]) >= min_docs and d != min(where[label[f]])}
+    gone = {(d, i) for d, i, f in rows if len(where[label[f]]) > 1 and d != min(where[label[f]])}
     return [None if text is None else [x for i, x in enumerate(text.split("\n")) if (d, i) not in gone] for d, text in enumerate(texts)]
 
 
@@ -110,7 +110,7 @@ def test_the_tree_is_the_plain_one(spark):
     texts += ["\n".join(" ".join(g.choice(words) for _ in range(g.choice([1, 2, 4, 6, 9]))) for _ in range(g.randint(0, 6))) for _ in range(60)]
     texts += [f"{g.choice('pqrstuv')} {g.choice('ab')} has left {g.choice(['us', 'them'])} for {g.choice('xyz')} now" for _ in range(40)]
     rows = drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1).sortWithinPartitions("doc_id")).collect()
-    got = [r.text if r.text is None else r.text for r in sorted(rows, key=lambda r: r.doc_id)]
+    got = [r.text for r in sorted(rows, key=lambda r: r.doc_id)]
     want = [x if x is None else "\n".join(x) for x in plain(texts)]
     assert got == want and sum(r.n_dropped for r in rows) > 30
 
