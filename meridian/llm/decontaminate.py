@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Numbers (words, fractions and sums such as 2+3 too), names and units become typed placeholders, so that a question with
-other parameters keeps its template. A capitalised word that begins a sentence may be a name or not, so windows that hold
-one are looked up both ways. Windows of ``words_each`` canonical tokens of benchmark and documents meet in a hash join; a
+other parameters keeps its template. A capitalised word may be a name or not (it may just begin a sentence), so windows that hold
+one are looked up both ways, by the word and by a placeholder. Windows of ``words_each`` canonical tokens of benchmark and documents meet in a hash join; a
 document holds an item if at least ``similarity`` of the item's windows occur in it. Where windows hold placeholders, their
 slots must agree: within one alignment an item's value stands for one value of the document throughout, and values that
 differ in the item differ in the document; an alignment that fails counts only by its windows without placeholders.
@@ -28,49 +28,59 @@ LITERALS = 2
 #: Unit words that follow a number, and number words.
 UNITS = "km|m|cm|mm|mi|miles|meters|metres|kilometers|kg|g|mg|lb|lbs|pounds|ounces|oz|grams|l|ml|liters|litres|gallons|s|sec|seconds|min|minutes|h|hours|hrs|days|weeks|months|years|dollars|euros|cents|percent|mph|kmh|degrees"
 NUMBER_WORDS = "zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|million|billion|half|third|quarter|dozen"
-NUM, NAME, UNIT, FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
-_SPACE = r"[\x20\x09-\x0D]+"
-_TITLE = r"""(\p{Lu}\p{Ll}+)(?=$|[ .,;:!?'")])"""
+NUM, NAME, UNIT, TITLE = "\u0001", "\u0002", "\u0003", "\u0004"
 _KINDS = f"[{NUM}{NAME}{UNIT}]"
 
 
-def _flat(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(text, NUM + NAME + UNIT + FIRST, "    "), _SPACE, " "))
+def _word_pattern(words: str) -> str:
+    """Any of the words, by their first letters, so that few are tried at each place."""
+    by_first: dict[str, list[str]] = {}
+    for w in words.split("|"):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + ")"
+
 
+def _with(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with ``value`` worked out once a row, however often it is read: a projection, then a generated column."""
+    keep = [c for c in rows.columns if c != name]
+    return rows.select(*keep, value.alias("_v")).select(*keep, F.explode(F.array("_v")).alias(name))
 
-def raw_tokens(text: Column) -> Column:
-    return F.split(_flat(text), " ")
+
+def _flat(text: Column) -> Column:
+    """Words by single spaces; only what isn't so already is replaced."""
+    clean = F.when(text.rlike(f"[{NUM}-{TITLE}]"), F.regexp_replace(text, f"[{NUM}-{TITLE}]", " ")).otherwise(text)
+    return F.trim(F.regexp_replace(clean, r" ?[\x09-\x0D][\x20\x09-\x0D]*| {2,}[\x20\x09-\x0D]*", " "))
 
 
-def canonical(text: Column) -> Column:
-    """The text's canonical tokens by single spaces, one for each raw token: lower case without punctuation, placeholders
-    for numbers, names (capitalised words) and units, and FIRST before a capitalised word that begins a sentence."""
-    marked = F.regexp_replace(_flat(text), rf"""(?<=^["'(]{{0,1}}|[.!?:]["')]{{0,1}} ["'(]{{0,1}}){_TITLE}""", FIRST + "$1")
-    named = F.regexp_replace(marked, rf"""(?<![^ "'(]){_TITLE}""", NAME)
-    plain = F.translate(F.lower(named), ".,;:!?\"'()[]{}*#$%&|_-", "")
+def _canonical(flat: Column) -> Column:
+    """The canonical tokens of a flat text by single spaces, one for each raw token: lower case without punctuation,
+    placeholders for numbers and units, and TITLE before a capitalised word."""
+    marked = F.regexp_replace(flat, r"""(?=\p{Lu})(?<![^ "'(])(\p{Lu}\p{Ll}+)(?=$|[ .,;:!?'")])""", TITLE + "$1")
+    plain = F.regexp_replace(F.lower(marked), r"""[.,;:!?"'()\[\]{}*#$%&|_-]+""", "")
     numbers = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "[0-9]+", NUM)).otherwise(plain)
-    words = F.regexp_replace(numbers, rf"(?<![^ ])(?:{NUMBER_WORDS})(?![^ ])", NUM)
+    words = F.regexp_replace(numbers, rf"(?<![^ ]){TITLE}?{_word_pattern(NUMBER_WORDS)}(?![^ ])", NUM)
     return F.when(words.contains(NUM), F.regexp_replace(words, rf"(?<={NUM})( ?)(?:{UNITS})(?= |$)", f"$1{UNIT}")).otherwise(words)
 
 
 def tokens(rows: DataFrame, key: str) -> DataFrame:
-    """(key, raw, canon, named): the raw tokens and both readings of the words that begin sentences, of rows with any."""
-    flat = rows.select(key, raw_tokens(F.col("text")).alias("raw"), canonical(F.col("text")).alias("c")).where("size(raw) > 0 and raw[0] <> ''")
-    return flat.select(key, "raw", F.split(F.translate("c", FIRST, ""), " ").alias("canon"), F.split(F.regexp_replace("c", f"{FIRST}[^ ]*", NAME), " ").alias("named"))
+    """(key, raw, canon, named): the raw tokens, and the canonical ones with capitalised words as words and as names."""
+    flat = _with(rows.select(key, "text"), "flat", _flat(F.col("text"))).where("flat <> ''")
+    both = _with(flat, "c", _canonical(F.col("flat")))
+    return both.select(key, F.split("flat", " ").alias("raw"), F.split(F.replace("c", F.lit(TITLE), F.lit("")), " ").alias("canon"), F.split(F.regexp_replace("c", f"{TITLE}[^ ]*", NAME), " ").alias("named"))
 
 
 def windows(cut: DataFrame, key: str, words_each: int) -> DataFrame:
-    """(key, raw, canon, named, at, as_name, h, literals) for every window and reading of ``cut``; a shorter text is one window."""
+    """(key, raw, canon, named, at, as_name, h) for every window and reading of ``cut``; a shorter text is one window."""
     at = cut.select(key, "raw", "canon", "named", F.explode(F.sequence(F.lit(0), F.greatest(F.size("canon") - words_each, F.lit(0)))).alias("at"))
+    hashed = lambda name: F.xxhash64(*[F.get(name, F.col("at") + k) for k in range(words_each)])
+    both = at.select(key, "raw", "canon", "named", "at", hashed("canon").alias("h"), hashed("named").alias("n"))
+    each = F.posexplode(F.when(F.col("h") == F.col("n"), F.array("h")).otherwise(F.array("h", "n"))).alias("as_name", "h")
+    return both.select(key, "raw", "canon", "named", "at", each)
 
-    def reading(name: str, as_name: bool) -> Column:
-        own = [F.get(name, F.col("at") + k) for k in range(words_each)]
-        literals = sum((F.when(t.isNull() | t.rlike(_KINDS) | (t == ""), 0).otherwise(1) for t in own), F.lit(0))
-        return F.struct(F.lit(as_name).alias("as_name"), F.xxhash64(*own).alias("h"), literals.alias("literals"))
 
-    both = at.select(key, "raw", "canon", "named", "at", reading("canon", False).alias("r"), reading("named", True).alias("s"))
-    each = F.explode(F.when(F.col("r.h") == F.col("s.h"), F.array("r")).otherwise(F.array("r", "s"))).alias("r")
-    return both.select(key, "raw", "canon", "named", "at", each).select(key, "raw", "canon", "named", "at", "r.*")
+def _reading(n: int) -> Column:
+    """The canonical tokens of a window in its reading."""
+    return F.slice(F.when(F.col("as_name") == 1, F.col("named")).otherwise(F.col("canon")), F.col("at") + 1, n)
 
 
 def _raw_hash(words_each: int) -> Column:
@@ -80,9 +90,8 @@ def _raw_hash(words_each: int) -> Column:
 def _slots(n: int) -> Column:
     """(a, b) of the places of a window that are placeholders in the document's reading: the item's and the document's token."""
     end = r"^[\"'(]+|[.,;:!?\"')]+$"
-    own = F.slice(F.when(F.col("as_name"), F.col("named")).otherwise(F.col("canon")), F.col("at") + 1, n)
     pair = lambda c, k: F.struct(c.rlike(_KINDS).alias("slot"), F.lower(F.regexp_replace(F.get("item_raw", k), end, "")).alias("a"), F.lower(F.regexp_replace(F.get("raw", F.col("at") + k), end, "")).alias("b"))
-    held = F.filter(F.transform(own, pair), lambda s: s["slot"] & s["a"].isNotNull())
+    held = F.filter(F.transform(_reading(n), pair), lambda s: s["slot"] & s["a"].isNotNull())
     return F.transform(held, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
 
 
@@ -90,7 +99,7 @@ def _hits(docs: DataFrame, side: DataFrame, n: int, raw: bool, few: bool) -> Dat
     """(dk, item, item_at, shift, slots) of windows of ``n`` tokens that documents share with ``side``; ``few``: broadcast it."""
     cut = windows(tokens(docs, "dk"), "dk", n)
     if raw:
-        met = cut.where("not as_name").withColumn("h", _raw_hash(n)).select("dk", "at", "h").join(F.broadcast(side) if few else side, "h")
+        met = cut.where("as_name = 0").withColumn("h", _raw_hash(n)).select("dk", "at", "h").join(F.broadcast(side) if few else side, "h")
         return met.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.expr("cast(array() as array<struct<a: string, b: string>>)").alias("slots"))
     if few:
         met = cut.join(F.broadcast(side), "h")
@@ -110,10 +119,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, words_each: int =
     texts = benchmark.where("text is not null").groupBy("text").agg(F.min("item").alias("item"))
     every = windows(tokens(texts, "item"), "item", words_each)
     own = F.slice("raw", F.col("at") + 1, words_each).alias("item_raw")
-    least = F.least(F.size("canon"), F.lit(LITERALS))
-    bench = scratch.write(every.where(F.col("literals") >= least).dropDuplicates(["item", "at", "h"]).select("item", F.col("at").alias("item_at"), "h", own), "bench")
+    literals = F.size(F.filter(_reading(words_each), lambda t: ~t.rlike(_KINDS) & (t != "")))
+    bench = scratch.write(every.where(literals >= F.least(F.size("canon"), F.lit(LITERALS))).dropDuplicates(["item", "at", "h"]).select("item", F.col("at").alias("item_at"), "h", own), "bench")
     # items whose windows hold too few literals are found by their raw tokens
-    bare = every.where("not as_name").join(bench.select("item").distinct(), "item", "left_anti").withColumn("h", _raw_hash(words_each))
+    bare = every.where("as_name = 0").join(bench.select("item").distinct(), "item", "left_anti").withColumn("h", _raw_hash(words_each))
     bare = scratch.write(bare.select("item", F.col("at").alias("item_at"), "h", own), "bare")
     sizes = bench.union(bare).groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
     hits = None

@@ -2,11 +2,11 @@
 
 import random
 
-import regex
 import pytest
+import regex
 
 from meridian.llm import decontaminate
-from meridian.llm.decontaminate import LITERALS, NUMBER_WORDS, UNITS, contaminated
+from meridian.llm.decontaminate import LITERALS, NAME, NUM, NUMBER_WORDS, TITLE, UNIT, UNITS, contaminated
 
 ITEM = "Tom has 5 red apples in a box. Tom gives 2 of the apples to Lisa. Tom then buys 9 more at the shop. How many apples does he have?"
 
@@ -37,19 +37,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def plain(texts, items, n=5, similarity=0.8):
-    title = r"""(\p{Lu}\p{Ll}+)(?=$|[ .,;:!?'")])"""
-
     def read(text):
         flat = regex.sub(SPACE, " ", text).strip(" ")
         if not flat:
             return None
-        marked = regex.sub(rf"""(?<=^["'(]?|[.!?:]["')]? ["'(]?){title}""", "\4\\1", flat)
-        named = regex.sub(rf"""(?<![^ "'(]){title}""", "\2", marked)
-        low = "".join(c for c in named.lower() if c not in ".,;:!?\"'()[]{}*#$%&|_-")
-        low = regex.sub("[0-9]+", "\1", low)
-        low = regex.sub(rf"(?<![^ ])(?:{NUMBER_WORDS})(?![^ ])", "\1", low)
-        low = regex.sub(rf"(?<=\1)( ?)(?:{UNITS})(?= |$)", "\\1\3", low)
-        return flat.split(" "), low.replace("\4", "").split(" "), regex.sub("\4[^ ]*", "\2", low).split(" ")
+        marked = regex.sub(r"""(?<![^ "'(])(\p{Lu}\p{Ll}+)(?=$|[ .,;:!?'")])""", TITLE + r"\1", flat)
+        low = "".join(c for c in marked.lower() if c not in ".,;:!?\"'()[]{}*#$%&|_-")
+        low = regex.sub("[0-9]+", NUM, low)
+        low = regex.sub(rf"(?<![^ ]){TITLE}?(?:{NUMBER_WORDS})(?![^ ])", NUM, low)
+        low = regex.sub(rf"(?<={NUM})( ?)(?:{UNITS})(?= |$)", rf"\1{UNIT}", low)
+        return flat.split(" "), low.replace(TITLE, "").split(" "), regex.sub(f"{TITLE}[^ ]*", NAME, low).split(" ")
 
     def cuts(r, n):
         raw, canon, named = r
@@ -58,7 +55,7 @@ def plain(texts, items, n=5, similarity=0.8):
                 yield at, t
 
     strip = lambda t: regex.sub(r"""^["'(]+|[.,;:!?"')]+$""", "", t).lower()
-    slot = lambda t: any(c in t for c in "\1\2\3")
+    slot = lambda t: any(c in t for c in (NUM, NAME, UNIT))
     first = {}
     for i, t in enumerate(items):
         first.setdefault(t, i)
