@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch, partitions_for
-from .textcore import buffers
+from .textcore import buffers, hook
 
 #: Entries of a top node that are compared within one piece of work; larger nodes are cut into blocks of this size.
 BLOCK = 4096
@@ -143,21 +143,6 @@ class GrayIndex:
             work.append((level - 1, i[once], j[once]))
 
 
-def _union(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Hook the roots of all pairs together until they agree; the smaller number is the root."""
-    while len(i):
-        a, b = parent[i], parent[j]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        np.minimum.at(parent, hi, lo)
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent[:] = up
-        open_ = parent[i] != parent[j]
-        i, j = i[open_], j[open_]
-
-
 def _link(max_bits: int):
     def solve(table: pa.Table) -> pa.RecordBatch | None:
         fp = table["fp"].to_numpy().view(np.uint64)
@@ -175,7 +160,7 @@ def _link(max_bits: int):
         alone = np.setdiff1d(np.arange(len(lead)), np.concatenate([both, both + 1]))
         parent = np.arange(len(fp))
         for i, j in index.close_pairs(np.concatenate([alone, both]), np.concatenate([alone, both + 1]), max_bits):
-            _union(parent, i, j)
+            hook(parent, i, j)
         tail = np.flatnonzero(parent != np.arange(len(fp)))
         if len(tail):
             return pa.RecordBatch.from_arrays([pa.array(node[tail]), pa.array(node[parent[tail]])], names=["u", "v"])

@@ -1,4 +1,4 @@
-"""Words, lines and hashes of whole Arrow text columns in NumPy, without a Python step per word."""
+"""Words and hashes of whole Arrow text columns in NumPy, without a Python step per word; byte classes; local groups."""
 
 from __future__ import annotations
 
@@ -15,6 +15,14 @@ MIX_A, MIX_B, JOIN = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E
 #: The six ASCII white-space characters that separate words.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Byte classes; bytes of non-ASCII characters count as letters.
+LETTER, UPPER, DIGIT = (np.zeros(256, bool) for _ in range(3))
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+UPPER[65:91] = True
+DIGIT[48:58] = True
+SIGN = ~(LETTER | DIGIT | WHITE)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Text handled at once; a longer single document is a piece of its own.
 CHUNK_BYTES = 2 << 20
 
@@ -141,3 +149,18 @@ def kept_text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     out = data[src]
     out[to - 1] = 32
     return out[:-1].tobytes()
+
+
+def hook(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Hook the roots of all pairs together until they agree; the smaller number is the root."""
+    while len(i):
+        a, b = parent[i], parent[j]
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(parent, hi, lo)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up
+        open_ = parent[i] != parent[j]
+        i, j = i[open_], j[open_]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .boosting import calibrated, fit_trees, isotonic
 from .scratch import Scratch
-from .textcore import WHITE, chunks, word_hashes, word_sums, words
+from .textcore import DIGIT, LETTER, LOWER, SIGN, UPPER, chunks, word_hashes, word_sums, words
 from .training import held_out, labelled_sample
 
 #: Insults and second-person words in the four languages of the corpus.
@@ -32,18 +32,11 @@ STEM_BYTES = (3, 4, 5, 6, 7, 8, 9, 10)
 NEAR = 6
 FEATURES = 22
 
-LETTER = np.zeros(256, bool)
-LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 _SWAP = np.zeros(256, bool)  # what stands for letters inside words
 _SWAP[[*b"013457@$*!"]] = True
 _LEET = bytes.maketrans(b"013457@$!", b"oieastasi")
-_SIGN = ~(LETTER | _DIGIT | WHITE)
+#: No disguised word of the lexicon is longer.
+_MOST_SPELLED = 24
 
 
 def _hash_all(items: list[str]) -> np.ndarray:
@@ -73,7 +66,7 @@ def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _count_stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(stem, fold, y, n): documents that hold a stem, added up for each piece of text; and stem 0 for all documents."""
     for part, data, offs in chunks(batches):
-        low = _LOWER[data]
+        low = LOWER[data]
         starts, ends, woff = words(low, offs, LETTER)
         y, fold = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
         doc = np.repeat(np.arange(len(y)), np.diff(woff))
@@ -106,7 +99,7 @@ def learn_stems(sample: DataFrame, folds: tuple[int, ...], most: int = 4000) ->
 def features(data: np.ndarray, offs: np.ndarray, stems: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """(documents, FEATURES)."""
     n = len(offs) - 1
-    low = _LOWER[data]
+    low = LOWER[data]
     starts, ends, woff = words(low, offs, LETTER)
     count = np.diff(woff)
     doc = np.repeat(np.arange(n), count)
@@ -138,7 +131,7 @@ def features(data: np.ndarray, offs: np.ndarray, stems: tuple[np.ndarray, np.nda
     if strong.any():
         pairs = np.unique(np.stack([doc[strong].astype(np.uint64), own[strong]]), axis=1)[0].astype(np.int64)
         distinct = np.bincount(pairs, minlength=n).astype(float)
-    letter, sign, upper = LETTER[data], _SIGN[data], _UPPER[data]
+    letter, sign, upper = LETTER[data], SIGN[data], UPPER[data]
     capital = np.concatenate([[0], np.cumsum(upper)])
     shouted = (capital[ends] - capital[starts] == ends - starts) & (ends - starts > 1)
     swap = np.zeros(len(data), bool)
@@ -147,17 +140,14 @@ def features(data: np.ndarray, offs: np.ndarray, stems: tuple[np.ndarray, np.nda
         inner = offs[1:-1]
         swap[inner[inner < len(data)]] = False
     spelled = np.zeros(n)
-    where = np.flatnonzero(swap)
-    if len(where):
+    if swap.any():
         lexicon, raw = set(LEXICON), data.tobytes()
-        for p in where.tolist():
-            d = int(np.searchsorted(offs, p, "right")) - 1
-            lo, hi = p, p + 1
-            while lo > offs[d] and p - lo < 32 and (letter[lo - 1] or _SWAP[data[lo - 1]]):
-                lo -= 1
-            while hi < offs[d + 1] and hi - p < 32 and (letter[hi] or _SWAP[data[hi]]):
-                hi += 1
-            spelled[d] += raw[lo:hi].lower().translate(_LEET).decode("utf-8", "ignore").strip("*") in lexicon
+        ts, te, toff = words(data, offs, LETTER | _SWAP)
+        swaps = np.concatenate([[0], np.cumsum(swap)])
+        times = swaps[te] - swaps[ts]
+        for k in np.flatnonzero((times > 0) & (te - ts <= _MOST_SPELLED)).tolist():
+            if raw[ts[k] : te[k]].lower().translate(_LEET).decode("utf-8", "ignore").strip("*") in lexicon:
+                spelled[np.searchsorted(toff, k, "right") - 1] += times[k]
     twice = np.zeros(len(data), bool)
     twice[1:] = sign[1:] & (data[1:] == data[:-1])
     hits = of_words(hit)
@@ -165,7 +155,7 @@ def features(data: np.ndarray, offs: np.ndarray, stems: tuple[np.ndarray, np.nda
         np.log1p(count), of_words(lexical), of_words(lexical) / per_word, of_words(strong), of_words(strong) / per_word, of_words(best > 0.7) / per_word,
         of_words(best) / per_word, most, distinct, of_words(person) / per_word, of_words(hit & near) / np.maximum(hits, 1), hits,
         byte_sum(upper) / per_byte, of_words(shouted) / per_word, byte_sum(data == 33) / per_byte, byte_sum(data == 63) / per_byte, byte_sum(sign) / per_byte,
-        byte_sum(twice) / per_byte, byte_sum(_DIGIT[data]) / per_byte, byte_sum(swap) / per_word, spelled, byte_sum(data >= 128) / per_byte,
+        byte_sum(twice) / per_byte, byte_sum(DIGIT[data]) / per_byte, byte_sum(swap) / per_word, spelled, byte_sum(data >= 128) / per_byte,
     ]
     return np.stack(cols, axis=1).astype(np.float64)
 
