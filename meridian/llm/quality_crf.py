@@ -2,8 +2,10 @@
 
 Every line is labelled good or bad from its own features and its neighbours'; forward-backward gives each line's marginal,
 and their mean, weighted by length, is the document's quality, calibrated by isotonic regression. The field is fitted by
-gradient ascent on a bounded sample in which a document's label stands for its lines'; a document's calibration row comes
-from a field that did not see it. Scoring is one pass over whole texts without a shuffle.
+gradient ascent on a bounded sample (rows and lines) in which a document's label stands for its lines'; a document's
+calibration row comes from a field that did not see it. Scoring is one pass over whole texts without a shuffle, a bounded
+number of lines at a time: a line's emission is a sum over its own features and its neighbours', and a very long chain is
+cut into spans that overlap by so many lines that the marginals are the same to double precision.
 """
 
 from __future__ import annotations
@@ -13,39 +15,42 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .boosting import calibrated, isotonic
 from .scratch import Scratch
-from .textcore import WHITE, chunks, word_hashes, words
-from .toxicity import _DIGIT, _SIGN, _UPPER, LETTER
+from .textcore import DIGIT, LETTER, SIGN, UPPER, WHITE, chunks, word_hashes, words
 from .training import held_out, labelled_sample
 
 OWN = 14
+#: Lines whose features are held at once; lines of a span of a long chain, and of its overlap on either side. Transitions
+#: lie within 2 of each other's mean, so a line's influence shrinks by tanh(2) = 0.964 a line at least: 0.964**1024 < 1e-16.
+PIECE, SPAN, HALO = 1 << 16, 1 << 15, 1 << 10
 _PLAIN_SIGN = np.zeros(256, bool)
 _PLAIN_SIGN[[*b".,;:'\"!?()-"]] = True
 
 
-def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lines, 3 * OWN + 2) features, n+1 offsets of each document's lines, and the lines' lengths in bytes (1 at least).
+def line_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of all lines, and n+1 offsets of each document's lines among them.
 
-    A line ends at a newline; every document, an empty one too, has at least one line. The features are the line's own,
-    the line's before and after it (zero at the ends), and whether it is the first or last.
+    A line ends at a newline; every document, an empty one too, has at least one line.
     """
-    n = len(offs) - 1
     breaks = np.flatnonzero(data == 10)
     owner = np.searchsorted(offs, breaks, "right") - 1
     starts = np.sort(np.concatenate([offs[:-1], breaks + 1]), kind="stable")
-    loff = np.concatenate([[0], np.cumsum(1 + np.bincount(owner, minlength=n))]).astype(np.int64)
+    loff = np.concatenate([[0], np.cumsum(1 + np.bincount(owner, minlength=len(offs) - 1))]).astype(np.int64)
     ends = np.empty(len(starts), np.int64)
     ends[:-1] = starts[1:] - 1
-    last = loff[1:] - 1
-    ends[last] = offs[1:]
-    starts = np.minimum(starts, ends)
+    ends[loff[1:] - 1] = offs[1:]
+    return np.minimum(starts, ends), ends, loff
+
+
+def own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(lines, OWN): length, words, letters, capitals, digits, signs, repeats and the like of each line."""
     size = np.maximum(ends - starts, 1)
     within = lambda mask: (c := np.concatenate([[0], np.cumsum(mask)]))[ends] - c[starts]
-    ws, we, _ = words(data, np.unique(np.concatenate([starts, ends])) if len(data) else offs)
+    ws, we, _ = words(data, np.unique(np.concatenate([[0, len(data)], starts, ends])))
     first, after = np.searchsorted(ws, starts), np.searchsorted(ws, ends)
     count = np.maximum(after - first, 1)
     h = word_hashes(data, ws, we) if len(ws) else np.zeros(0, np.uint64)
@@ -54,25 +59,43 @@ def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
         same[1:-1] = h[1:] == h[:-1]
     runs = np.concatenate([[0], np.cumsum(same[: len(ws)])])
     again = np.maximum(runs[after] - runs[np.minimum(first + 1, after)], 0)
-    letters, sign = within(LETTER[data]), within(_SIGN[data] & ~_PLAIN_SIGN[data])
+    letters, sign = within(LETTER[data]), within(SIGN[data] & ~_PLAIN_SIGN[data])
     tail = np.where(ends > starts, data[np.maximum(ends - 1, 0)] if len(data) else 0, 0)
     longest = np.zeros(len(starts))
     if len(ws):
         np.maximum.at(longest, np.searchsorted(starts, ws, "right") - 1, (we - ws).astype(float))
-    own = np.stack(
+    return np.stack(
         [
-            np.log1p(ends - starts) / 5, np.log1p(after - first) / 4, letters / size, within(_UPPER[data]) / np.maximum(letters, 1), within(_DIGIT[data]) / size, sign / size,
+            np.log1p(ends - starts) / 5, np.log1p(after - first) / 4, letters / size, within(UPPER[data]) / np.maximum(letters, 1), within(DIGIT[data]) / size, sign / size,
             sign / count / 3, within(data == 124) / count, within(data == 33) / count, within(_PLAIN_SIGN[data]) / size, again / count, np.isin(tail, [46, 33, 63, 59]),
             within(WHITE[data]) / size, np.log1p(longest) / 5,
         ],
         axis=1,
     ).astype(float)
-    head, tail_line = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
-    head[loff[:-1]], tail_line[last] = True, True
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Own features of PIECE lines at a time, from the bytes of these lines only."""
+    for a in range(0, len(starts), PIECE):
+        b = min(a + PIECE, len(starts))
+        lo, hi = starts[a], ends[b - 1]
+        yield a, b, own_features(data[lo:hi], starts[a:b] - lo, ends[a:b] - lo)
+
+
+def line_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines, 3 * OWN + 2) features, n+1 offsets of each document's lines, and the lines' lengths in bytes (1 at least).
+
+    The features are the line's own, those of the line before and after it (zero at the ends), and whether it is the first
+    or last. For the bounded sample; scoring doesn't form them (``emissions``).
+    """
+    starts, ends, loff = line_spans(data, offs)
+    own = np.concatenate([x for _, _, x in _pieces(data, starts, ends)] or [np.zeros((0, OWN))])
+    head, tail = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    head[loff[:-1]], tail[loff[1:] - 1] = True, True
     before, behind = np.zeros_like(own), np.zeros_like(own)
     before[1:], behind[:-1] = own[:-1], own[1:]
-    before[head], behind[tail_line] = 0, 0
-    return np.concatenate([own, before, behind, head[:, None], tail_line[:, None]], axis=1), loff, size
+    before[head], behind[tail] = 0, 0
+    return np.concatenate([own, before, behind, head[:, None], tail[:, None]], axis=1), loff, np.maximum(ends - starts, 1)
 
 
 @dataclass
@@ -84,8 +107,29 @@ class Field:
     mean: np.ndarray
     scale: np.ndarray
 
+    def part(self, x: np.ndarray, at: int) -> np.ndarray:
+        """What features that stand at column ``at`` add to the emission."""
+        own = slice(at, at + x.shape[1])
+        return np.clip((x - self.mean[own]) / self.scale[own], -8, 8) @ self.weights[own]
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        return self.part(x, 0) + self.weights[-1]
+
+
+def emissions(field: Field, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each line's score of "good" by the field, n+1 offsets of each document's lines, and the lines' lengths."""
+    starts, ends, loff = line_spans(data, offs)
+    parts = np.empty((len(starts), 3))
+    for a, b, x in _pieces(data, starts, ends):
+        for k in range(3):
+            parts[a:b, k] = field.part(x, k * OWN)
+    edge = field.part(np.zeros((1, OWN)), OWN)[0], field.part(np.zeros((1, OWN)), 2 * OWN)[0]
+    before, behind = np.concatenate([[0.0], parts[:-1, 1]]), np.concatenate([parts[1:, 2], [0.0]])
+    before[loff[:-1]], behind[loff[1:] - 1] = edge
+    head, tail = np.zeros((len(starts), 1)), np.zeros((len(starts), 1))
+    head[loff[:-1]], tail[loff[1:] - 1] = 1, 1
+    score = parts[:, 0] + before + behind + field.part(head, 3 * OWN) + field.part(tail, 3 * OWN + 1) + field.weights[-1]
+    return score, loff, np.maximum(ends - starts, 1)
 
 
 def forward_backward(score: np.ndarray, loff: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,8 +162,34 @@ def forward_backward(score: np.ndarray, loff: np.ndarray, moves: np.ndarray) ->
     return np.exp(np.minimum(alpha[:, 1] + beta[:, 1] - log_z[chain], 0)), pairs, log_z
 
 
+def marginals(score: np.ndarray, loff: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Marginal of "good" of every line; chains longer than SPAN are cut into overlapping spans."""
+    length = np.diff(loff)
+    out = np.empty(len(score))
+    short = length <= SPAN + 2 * HALO
+    if short.all():
+        return forward_backward(score, loff, moves)[0]
+    for which in np.flatnonzero(~short):
+        lo, hi = loff[which], loff[which + 1]
+        spans = [(max(lo, a - HALO), a, min(hi, a + SPAN), min(hi, a + SPAN + HALO)) for a in range(lo, hi, SPAN)]
+        for k in range(0, len(spans), 32):  # about a million lines together
+            own = spans[k : k + 32]
+            p = forward_backward(np.concatenate([score[f:t] for f, _, _, t in own]), np.concatenate([[0], np.cumsum([t - f for f, _, _, t in own])]), moves)[0]
+            at = 0
+            for f, a, b, t in own:
+                out[a:b] = p[at + a - f : at + b - f]
+                at += t - f
+    lines = np.repeat(short, length)
+    out[lines] = forward_backward(score[lines], np.concatenate([[0], np.cumsum(length[short])]), moves)[0]
+    return out
+
+
 def fit_field(x: np.ndarray, loff: np.ndarray, y: np.ndarray, steps: int = 120, rate: float = 0.08, l2: float = 2e-3) -> Field:
-    """Gradient ascent (Adam) on the mean log likelihood of chains whose lines all carry the document's label."""
+    """Adam on chains whose lines all carry the document's label.
+
+    Emissions follow the gradient of the log likelihood weighted by 1 / sqrt(lines) of a chain, moves that of the mean over
+    all moves: a composite of two likelihoods, so that few very long documents decide neither.
+    """
     if not len(y):
         return Field(np.zeros(x.shape[1] + 1), np.zeros((2, 2)), np.zeros(x.shape[1]), np.ones(x.shape[1]))
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
@@ -139,12 +209,17 @@ def fit_field(x: np.ndarray, loff: np.ndarray, y: np.ndarray, steps: int = 120,
     return Field(theta[:-4], theta[-4:].reshape(2, 2), mean, scale)
 
 
-def document_quality(field: Field, x: np.ndarray, loff: np.ndarray, size: np.ndarray) -> np.ndarray:
+def document_quality(field: Field, score: np.ndarray, loff: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Mean of the lines' marginals, weighted by length."""
-    p, _, _ = forward_backward(field.emissions(x), loff, field.moves)
+    p = marginals(score, loff, field.moves)
     return np.add.reduceat(p * size, loff[:-1]) / np.add.reduceat(size, loff[:-1]) if len(loff) > 1 else np.zeros(0)
 
 
+def text_quality(model: dict, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Calibrated quality, 0 to 1, of each text."""
+    return np.clip(calibrated(document_quality(model["field"], *emissions(model["field"], data, offs)), model["knots"]), 0, 1)
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offs in chunks(batches):
         x, loff, size = line_features(data, offs)
@@ -153,7 +228,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(sample: DataFrame) -> dict:
-    """The model from ``sample(y, fold, text)``, whose size the caller bounds."""
+    """The model from ``sample(y, fold, text)``, whose rows and lines the caller bounds."""
     rows = sample.select("y", "fold", "text").mapInArrow(_extract, "y int, fold int, x binary, size binary").collect()
     rows.sort(key=lambda r: (r.fold, r.y, bytes(r.x)))
     xs = [np.frombuffer(r.x, "<f4").reshape(-1, 3 * OWN + 2).astype(float) for r in rows]
@@ -170,7 +245,9 @@ def fit(sample: DataFrame) -> dict:
         mine, others = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
         if len(mine):
             x, loff, _ = stacked(others)
-            unseen[mine] = document_quality(fit_field(x, loff, y[others]), *stacked(mine))
+            field = fit_field(x, loff, y[others])
+            x, loff, size = stacked(mine)
+            unseen[mine] = document_quality(field, field.emissions(x), loff, size)
     x, loff, _ = stacked(np.arange(len(rows)))
     return {"field": fit_field(x, loff, y), "knots": isotonic(unseen, y)}
 
@@ -178,15 +255,20 @@ def fit(sample: DataFrame) -> dict:
 def _score(model: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in chunks(batches):
-            p = calibrated(document_quality(model["field"], *line_features(data, offs)), model["knots"])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.clip(p, 0, 1))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text_quality(model, data, offs))], names=["id", "score"])
 
     return run
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, most_labelled: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> dict:
+def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, most_labelled: int = 6_000, most_lines: int = 200_000, id_col: str = "doc_id", text_col: str = "text") -> dict:
+    """Learns from at most ``most_labelled`` labelled documents, chosen by hash, and of these from as many, shortest first,
+    as have ``most_lines`` lines together: what the driver gathers is bounded in rows and in lines."""
     scratch = Scratch(docs.sparkSession)
-    return fit(scratch.write(labelled_sample(docs, labels, "quality", modulus, rest, most_labelled, id_col, text_col), "sample"))
+    sample = scratch.write(labelled_sample(docs, labels, "quality", modulus, rest, most_labelled, id_col, text_col), "sample")
+    lines = sample.withColumn("lines", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    order = Window.orderBy("lines", F.xxhash64("text"), "y", "fold")  # a window over the bounded sample
+    held = lines.withColumn("sum", F.sum("lines").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= most_lines)
+    return fit(scratch.write(held.select("y", "fold", "text"), "fitted"))
 
 
 def score_column(docs: DataFrame, model: dict, key: str, text_col: str = "text") -> DataFrame:
@@ -199,9 +281,10 @@ def score_column(docs: DataFrame, model: dict, key: str, text_col: str = "text")
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 5, rest: int = 0, most_labelled: int = 6_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, score, predicted), one row for each row of ``docs``; ``labels(id, quality)``.
 
-    At most ``most_labelled`` labelled rows are learned from, whatever the size of the tables. Null text counts as empty
-    (one empty line) and gets a score too; ids may be null (held out) or repeated. Without labels the score is a half.
+    A bounded sample of labelled rows is learned from (``fit_quality``), whatever the size of the tables. Null text counts
+    as empty (one empty line) and gets a score too; ids may be null (held out) or repeated; other columns are ignored, an
+    empty table gives an empty result. Without labels the score is a half.
     """
-    model = fit_quality(docs, labels, modulus, rest, most_labelled, id_col, text_col)
+    model = fit_quality(docs, labels, modulus, rest, most_labelled, id_col=id_col, text_col=text_col)
     scored = score_column(docs, model, id_col, text_col)
     return scored.select(id_col, held_out(F.col(id_col), modulus, rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
