@@ -49,7 +49,9 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), limit=512)
+    """Reads and extends the cache that the session names in ``meridian.token.cache``; unset, a cache of this run."""
+    cache = spark.conf.get("meridian.token.cache", None)
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), cache, limit=512)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
