@@ -135,10 +135,15 @@ def test_token_counts_and_cache(spark, docs, none, tmp_path):
     enc = Encoder(JSON)
     want = sorted((str(r[0]), len((r[1] or "").encode()), len(enc.ids(r[1] or ""))) for r in ROWS)
     cache = f"file://{tmp_path}/cache"
+    half = docs.where("text like '%same%' or text = ''")
+    assert count_tokens(half, JSON, RANKS, cache).count() == half.count()  # a part of the digests is stored
+    stored = spark.read.parquet(cache).count()
     for _ in range(2):
         got = count_tokens(docs, JSON, RANKS, cache).collect()
         assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
-    assert spark.read.parquet(cache).count() == len({r[1] or "" for r in ROWS})
+    assert 0 < stored < spark.read.parquet(cache).count() == len({r[1] or "" for r in ROWS})
+    spark.read.parquet(cache).withColumn("n_tokens", F.col("n_tokens") + 1000).write.parquet(f"{cache}-2")
+    assert all(r.n_tokens >= 1000 for r in count_tokens(docs, JSON, RANKS, f"{cache}-2").collect())  # read, not encoded
     assert count_tokens(none, JSON, RANKS).count() == 0
 
 
@@ -202,18 +207,23 @@ def test_embedding_dedup(spark):
     g = np.random.default_rng(3)
     base = g.normal(size=(40, 64))
     v = np.concatenate([base + g.normal(size=base.shape) * s for s in (0, 0, 0.1, 0.2, 0.25, 0.28)])
-    rows = [(i, [float(c) for c in x], int(i % 3)) for i, x in enumerate(v)]
-    rows += [(900, None, 1), (901, [0.0] * 64, 1), (902, rows[0][1], None), (903, [float("nan")] * 64, 1), (904, [1.0, 2.0], 1), (905, [], 1), (3, rows[3][1], 0)]
-    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    rows = [(i, [float(c) for c in x], int(i % 3), "x", 1) for i, x in enumerate(v)]
+    rows += [(i, x, y, "x", 1) for i, x, y in [(900, None, 1), (901, [0.0] * 64, 1), (902, rows[0][1], None), (903, [float("nan")] * 64, 1), (904, [1.0, 2.0], 1), (905, [], 1), (3, rows[3][1], 0)]]
+    got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, vec string, n int")).collect()
     x = v.astype(np.float32).astype(float)
     x = np.concatenate([x, x[3:4]])
     label = np.array([i % 3 for i in range(len(v))] + [0])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     near = (x @ x.T >= 0.93) & (label[:, None] == label[None])
     np.fill_diagonal(near, False)
-    links = Counter({r.vec_id: 0 for r in got})
-    assert len(got) == len(rows) and sum(r.n_links for r in got) >= 0.97 * near.sum() and sum(r.n_links for r in got) <= near.sum()
-    assert all(r.n_links == 0 and r.kept for r in got if r.vec_id >= 900) and links is not None
+    ids = [*range(len(v)), 3]
+    low = list(ids)
+    while (after := [min(low[j] for j in [i, *np.flatnonzero(near[i])]) for i in range(len(ids))]) != low:
+        low = after
+    want = sorted((ids[i], int(near[i].sum()), low[i], ids[i] == low[i]) for i in range(len(ids)))
+    assert len(got) == len(rows) and near.sum() > 200
+    assert sorted(tuple(r) for r in got if r.vec_id < 900) == want  # every link, though the index may miss 0.2 % at the threshold
+    assert all(r.n_links == 0 and r.kept for r in got if r.vec_id >= 900)
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
