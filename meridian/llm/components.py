@@ -21,12 +21,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     )
     for k in range(1, max_rounds + 1):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # the joins' keys are turned over, so that they don't reuse an aggregate's partitions: a hot node's may then be split
+        low = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
         # large star: every larger neighbour moves to the least of the neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, F.bitwise_not("u") == F.bitwise_not("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: the smaller neighbours of a node move to the least of them, and so does the node
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        small = large.join(least, F.bitwise_not("u") == F.bitwise_not("k")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = scratch.write(small.select("e.u", "e.v").where("u <> v").distinct(), f"cc-{k}")
         scratch.drop(f"cc-{k - 1}")
         now = after

@@ -7,8 +7,7 @@ common one value is. A leading token is generalised too where its node has ``chi
 lines equal in all else (lines of ``WILD_TOKENS`` tokens and more). A template found in two documents recurs: its lines
 are dropped from every document but the first.
 
-A leaf's tokens are looked at only where the leaf holds several forms and documents. Minima and maxima are taken before any
-shuffle; a line that all documents share is one row for each task, and its lines come back by a join
+A leaf's tokens are looked at only where the leaf holds several forms. Minima and maxima are taken before any shuffle; a line that all documents share is one row for each task, and its lines come back by a join
 that may be split. Every step takes time in proportion to a line's length.
 """
 
@@ -54,21 +53,21 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
     rest = F.get("t", F.lit(depth))
     size = F.size("t") + F.when(F.size("t") <= depth, 0).otherwise(F.length(rest) - F.length(F.replace(rest, F.lit(" "), F.lit(""))))
     lines = lines.select("dk", "i", "form", "t", size.alias("size")).where(f"size >= {int(min_tokens)}")
-    leaf = F.xxhash64("size", *[F.get("t", F.lit(k)) for k in range(depth)])
-    wild = F.when(F.col("size") >= max(WILD_TOKENS, depth + 1), F.array(leaf, *_wild(depth))).otherwise(F.array(leaf))
+    even = lambda c: F.shiftleft(c, 1)  # noqa: E731 - leaves have even keys, nodes without one token odd ones
+    leaf = even(F.xxhash64("size", *[F.get("t", F.lit(k)) for k in range(depth)]))
+    wild = F.when(F.col("size") >= max(WILD_TOKENS, depth + 1), F.array(leaf, *[even(w) + 1 for w in _wild(depth)])).otherwise(F.array(leaf))
     lines = scratch.write(lines.select("dk", "i", wild.alias("keys"), F.xxhash64("form").alias("tmpl"), "form"), "lines")
     digests = lines.select("dk", "i", "tmpl")
-    # leaves, and nodes without one leading token, that hold several forms and documents
-    keyed = lines.select("dk", "tmpl", F.posexplode("keys").alias("at", "key"))
-    held = keyed.groupBy("at", "key").agg(F.min("tmpl").alias("a"), F.max("tmpl").alias("b"), F.min("dk").alias("lo"), F.max("dk").alias("hi"), F.count("*").alias("n"))
-    held = scratch.write(held.where(f"a <> b and lo <> hi and (at = 0 or n >= {int(children)})").select("at", "key", F.col("a").alias("u")), "nodes")
-    leaves, nodes = held.where("at = 0").select(F.col("key").alias("leaf")), held.where("at > 0").select("key", "u")
+    # leaves, and nodes without one leading token, that hold several forms
+    keyed = lines.select("tmpl", F.explode("keys").alias("key"))
+    held = scratch.write(keyed.groupBy("key").agg(F.min("tmpl").alias("u"), F.max("tmpl").alias("last")).where("u <> last").select("key", "u"), "nodes")
+    leaves, nodes = held.where("key & 1 = 0").select(F.col("key").alias("leaf")), held.where("key & 1 = 1")
     leaves = F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
     # one line of each form of such a leaf: which are alike?
     spread = lines.select(F.get("keys", F.lit(0)).alias("leaf"), "tmpl", "form").join(leaves, "leaf", "left_semi").groupBy("tmpl").agg(F.first("leaf").alias("leaf"), F.first("form").alias("form"))
     spread = scratch.write(spread.select("leaf", "tmpl", F.split("form", " ").alias("t")).withColumn("size", F.size("t")), "spread")
     # forms that differ in one leading token only, where that token has many values
-    members = scratch.write(keyed.where("at > 0").select("key", "tmpl").join(nodes, "key").distinct(), "members")
+    members = scratch.write(keyed.where("key & 1 = 1").join(nodes, "key").distinct(), "members")
     many = scratch.write(members.groupBy("key").count().where(f"count >= {int(children)}").select("key"), "many")
     fields = scratch.write(members.join(many, "key", "left_semi").where("tmpl <> u").select("u", F.col("tmpl").alias("v")).distinct(), "fields")
     segments = scratch.write(_segments(spread, depth, similarity), "segments")
@@ -88,7 +87,7 @@ def _segments(spread: DataFrame, depth: int, similarity: float) -> DataFrame:
 
     def key(s: Column) -> Column:
         start, stop = (F.floor(x * F.col("rest") / F.col("parts")).cast("int") for x in (s, s + 1))
-        return F.xxhash64("leaf", s, F.when(F.col("parts") == 1, F.lit("")).otherwise(F.array_join(F.slice("t", start + (depth + 1), stop - start), " ")))
+        return F.xxhash64("leaf", s, F.when(F.col("parts") > 1, F.slice("t", start + (depth + 1), stop - start)))
 
     # hashed before they are dealt out, so that a row holds a hash and not the line
     return rows.select("node", F.transform(F.sequence(F.lit(0), F.col("parts") - 1), key).alias("keys")).select(F.explode("keys").alias("key"), "node")

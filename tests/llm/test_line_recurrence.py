@@ -76,9 +76,6 @@ def plain(texts, depth=3, similarity=0.7, children=4):
             for f in label:
                 label[f] = min(a, b) if label[f] in (a, b) else label[f]
 
-    def spans(forms):
-        return len(set().union(*(docs[f] for f in forms))) > 1
-
     leaves, nodes = {}, {}
     for f in docs:
         t = f.split(" ")
@@ -87,13 +84,12 @@ def plain(texts, depth=3, similarity=0.7, children=4):
             for p in range(depth):
                 nodes.setdefault((p, *t[:p], "", *t[p + 1 :]), []).append(f)
     for own in leaves.values():
-        if spans(own):
-            for x in own:
-                for y in own:
-                    if sum(p != q for p, q in zip(x.split(" "), y.split(" "), strict=True)) <= int(len(x.split(" ")) * (1 - similarity) + 1e-9):
-                        link(x, y)
+        for x in own:
+            for y in own:
+                if sum(p != q for p, q in zip(x.split(" "), y.split(" "), strict=True)) <= int(len(x.split(" ")) * (1 - similarity) + 1e-9):
+                    link(x, y)
     for own in nodes.values():
-        if len(own) >= children and spans(own):
+        if len(own) >= children:
             for x in own:
                 link(own[0], x)
     where = {}
