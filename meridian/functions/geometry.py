@@ -74,6 +74,15 @@ def intersection_point(a: list[Column], b: list[Column]) -> Column:
     return F.when(~flat & inside, F.struct((a[0] + t * dax).alias("x"), (a[1] + t * day).alias("y")))
 
 
+def shared_end(a: list[Column], b: list[Column]) -> Column:
+    """struct<x, y> of an end that both segments have, null if there is none."""
+    out = F.lit(None).cast("struct<x: double, y: double>")
+    for i in (0, 2):
+        for j in (0, 2):
+            out = F.when((a[i] == b[j]) & (a[i + 1] == b[j + 1]), F.struct(a[i].alias("x"), a[i + 1].alias("y"))).otherwise(out)
+    return out
+
+
 def grid_zone(x: Column, y: Column, x0, x1, y0, y1, n: int = 3) -> Column:
     cell = lambda v, lo, hi: F.least(F.lit(n), 1 + F.floor(n * (v - lo) / (hi - lo + 1e-9)))
     return (cell(y, y0, y1) - 1) * n + cell(x, x0, x1)

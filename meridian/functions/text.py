@@ -1,4 +1,4 @@
-"""Text functions: tokens, overlapping search, common subsequences."""
+"""Text functions: tokens, code points, overlapping search, snippets, common subsequences, and words for numbers."""
 
 from __future__ import annotations
 
@@ -24,6 +24,65 @@ def overlapping_count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit("(?=" + "".join(c if c.isalnum() else "\\" + c for c in pattern) + ")"))
 
 
+def code_points(text: Column) -> Column:
+    """The Unicode number of every character."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-32")), F.lit("(.{8})")), lambda c: F.conv(c, 16, 10).cast("int"))
+
+
+def snippet(text: Column, start: Column, length: int, around: int = 35) -> Column:
+    """The characters from ``around`` before a 1-based start to ``around`` after what is ``length`` long."""
+    first = F.greatest(F.lit(1), start - around)
+    return F.substring(text, first, start + F.lit(length + around) - first)
+
+
+def about_minutes(seconds: Column) -> Column:
+    """``about 5 minutes``: half a minute rounds to the even number."""
+    minutes = F.bround(seconds / 60, 0).cast("long")
+    return F.when(minutes < 1, "less than a minute").otherwise(F.concat(F.lit("about "), count_noun(minutes, "minute")))
+
+
+def count_noun(n: Column, one: str, many: str | None = None) -> Column:
+    """``1 unit``, ``2 units``, ``1,200 units``."""
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many or one + "s"))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def pattern_borders(patterns: pd.Series) -> pd.Series:
+    """``border_lengths`` of a text column."""
+    return patterns.map(lambda p: None if p is None else border_lengths(p))
+
+
+def search(text: str, pattern: str) -> tuple[list[int], int]:
+    """(1-based starts of a literal, overlapping ones too; characters compared), by the pattern's borders."""
+    if not pattern or len(pattern) > len(text):
+        return [], 0
+    borders, starts, compared, k = border_lengths(pattern), [], 0, 0
+    for i, c in enumerate(text):
+        while True:
+            compared += 1
+            if pattern[k] == c:
+                k += 1
+                break
+            if not k:
+                break
+            k = borders[k - 1]
+        if k == len(pattern):
+            starts.append(i - k + 2)
+            k = borders[k - 1]
+    return starts, compared
+
+
+def search_effort(pattern: str):
+    """A function of a text column: struct<starts array<int>, compared int> of ``search``."""
+
+    @F.pandas_udf("starts array<int>, compared int")
+    def find(texts: pd.Series) -> pd.DataFrame:
+        out = [(None, None) if t is None else search(t, pattern) for t in texts]
+        return pd.DataFrame({"starts": [x[0] for x in out], "compared": pd.array([x[1] for x in out], dtype="Int32")})
+
+    return find
+
+
 def border_lengths(pattern: str) -> list[int]:
     """For each prefix, the length of its longest proper border."""
     out: list[int] = []
@@ -94,6 +153,12 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([common_length(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``common_subsequence`` of two array columns."""
+    return pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=object)
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Common subsequence over the longer list; two empty lists are equal."""
     longer = F.greatest(F.size(a), F.size(b))

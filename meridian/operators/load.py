@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def hourly_counts(df: DataFrame, minutes: str, n_hours: int) -> DataFrame:
-    """(hour, n) for hours 1..n_hours, zero where nothing fell; minutes outside are left out."""
-    seen = df.where(F.col(minutes).between(0, n_hours * 60 - 1)).groupBy((F.floor(F.col(minutes) / 60) + 1).alias("hour")).agg(F.count("*").alias("n"))
+    """(hour, n) for hours 1..n_hours, zero where nothing fell; minutes, fractions too, outside of them are left out."""
+    seen = df.where((F.col(minutes) >= 0) & (F.col(minutes) < n_hours * 60)).groupBy((F.floor(F.col(minutes) / 60) + 1).alias("hour")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(1, n_hours + 1).withColumnRenamed("id", "hour")
     return spine.join(seen, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

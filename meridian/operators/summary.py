@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,31 @@ def within_radius(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     return left.join(right, ["cx", "cy"]).where(square <= radius * radius).select("a", "b", F.sqrt(square).alias("dist"))
 
 
+def coverage_sets(dist: DataFrame, radius: float | Column) -> DataFrame:
+    """(station, place) of dist(a, b, dist): what lies within ``radius`` (closed) of a station a, in that direction."""
+    return dist.where(F.col("dist") <= radius).select(F.col("a").alias("station"), F.col("b").alias("place"))
+
+
+def covered(sets: DataFrame, chosen: DataFrame, by: str) -> DataFrame:
+    """(by, covered): how many places the stations of chosen(by, station) cover together."""
+    return chosen.join(sets, "station").groupBy(by).agg(F.countDistinct("place").alias("covered"))
+
+
+def watched(links: DataFrame, chosen: DataFrame, by: str) -> DataFrame:
+    """(by, watched): how many of links(u, v) have an end among chosen(by, node)."""
+    ends = links.select("u", "v", F.explode(F.array_distinct(F.array("u", "v"))).alias("node"))
+    return ends.join(chosen, "node").groupBy(by).agg(F.countDistinct("u", "v").alias("watched"))
+
+
+def sum_over(df: DataFrame, chosen: DataFrame, key: str, value: str) -> DataFrame:
+    """(total) of ``value`` over the rows whose ``key`` is among chosen(key), each row once; 0 for none."""
+    return df.join(chosen.select(key).distinct(), key, "left_semi").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("total"))
+
+
+def medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    return df.groupBy(group).agg(F.median(value).alias("median"))
+
+
 def density(points: DataFrame, radius: float) -> DataFrame:
     """(id, n): how many points lie within the radius of each, itself included."""
     return within_radius(points, points, radius).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
@@ -41,8 +66,10 @@ def cycle_cost(stops: DataFrame, dist: DataFrame, tour: str) -> DataFrame:
     return legs.join(dist, ["a", "b"]).groupBy(tour).agg(F.sum("dist").alias("cost"))
 
 
-def expand_units(df: DataFrame, units: str) -> DataFrame:
-    """One row for each unit, with unit from 1; rows without units go."""
+def expand_units(df: DataFrame, units: str, time: str | None = None, limit: float | None = None) -> DataFrame:
+    """One row for each unit, with unit from 1; rows without units go, and with ``time`` those beyond ``limit``."""
+    if time is not None:
+        df = df.where(F.col(time) <= limit)
     return df.where(F.col(units) >= 1).withColumn("unit", F.explode(F.sequence(F.lit(1), F.col(units).cast("int"))))
 
 

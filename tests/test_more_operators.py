@@ -63,10 +63,20 @@ def test_bfs_and_path(spark):
     known = graph.shortest_paths(e, spark.createDataFrame([(0,)], "id long"))
     dist = {r["node"]: r["dist"] for r in known.collect()}
     far = max(dist, key=lambda v: (dist[v], v))
-    path = graph.path_to(known, far)
-    assert path[0] == 0 and path[-1] == far and len(path) == dist[far] + 1
-    assert all(p in pairs for p in zip(path, path[1:], strict=False))
-    assert graph.path_to(known, 999) == []
+    targets = spark.createDataFrame([(v,) for v in [*dist, 999]], "id long")
+    paths = {r["target"]: r["path"] for r in graph.paths_to(known, targets).collect()}
+    assert paths[999] == [] and len(paths) == len(dist) + 1 and len(paths[far]) > 3
+    for v in dist:
+        assert paths[v][0] == 0 and paths[v][-1] == v and len(paths[v]) == dist[v] + 1
+        assert all(p in pairs for p in zip(paths[v], paths[v][1:], strict=False))
+    # neighbours in the order of their edges
+    ranked = e.selectExpr("*", "-dst as eid")
+    order = [0]
+    for u in order:
+        for a, b in sorted(pairs, key=lambda p: -p[1]):
+            if a == u and b not in order and len(order) < k:
+                order.append(b)
+    assert [r["id"] for r in graph.bfs_subgraph(ranked, 0, k)[0].orderBy("rank").collect()] == order
 
 
 def test_cycles_roads_and_spots(spark):
@@ -77,7 +87,10 @@ def test_cycles_roads_and_spots(spark):
     assert summary.cycle_cost(stops, dist, "tour").first()["cost"] == 7.0
     ways = spark.createDataFrame([(1, 2, "-1", "roundabout"), (3, 4, "yes", None), (5, 6, None, None)], "src int, dst int, oneway string, junction string")
     assert sorted((r["src"], r["dst"]) for r in roads.directed(ways).collect()) == [(2, 1), (3, 4), (5, 6), (6, 5)]
-    assert roads.grid_roads(spark, 5).count() == 80
+    grid = roads.grid_roads(spark, 5).collect()
+    assert len(grid) == 80 and all(80 <= r.w < 400 and 3 <= r.hw <= 7 for r in grid)
+    assert all(abs(r.seconds - r.w / (roads.ROAD_CLASSES[r.hw - 1][2] / 3.6)) < 1e-9 and r.cap == roads.ROAD_CLASSES[r.hw - 1][3] for r in grid)
+    assert {(r.src, r.dst, r.w) for r in grid} == {(r.dst, r.src, r.w) for r in grid}
     assert summary.spaced_top([(5, 1, 0, 0), (4, 2, 1, 0), (3, 3, 9, 0)], 2, 4.0) == [(5, 1, 0, 0), (3, 3, 9, 0)]
     calls = roads.incidents(spark, 2000)
     low, high = calls.agg({"minute": "min"}).first()[0], calls.agg({"minute": "max"}).first()[0]

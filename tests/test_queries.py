@@ -8,7 +8,7 @@ import pytest
 from meridian.plans import catalogue
 
 D = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents benchmark embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events documents benchmark embeddings conversations".split()
 
 
 def canon(rows, cols):
@@ -18,7 +18,7 @@ def canon(rows, cols):
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no tables")
-@pytest.mark.parametrize("name", [n for n in catalogue.ORACLE if n not in ("nearest_facility", "connected_parts", "inspection_tour", "keyword_hits")])
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_query(spark, name):
     con = duckdb.connect()
     for t in TABLES:
