@@ -150,6 +150,7 @@ def features(data: np.ndarray, offs: np.ndarray, stems: tuple[np.ndarray, np.nda
                 spelled[np.searchsorted(toff, k, "right") - 1] += times[k]
     twice = np.zeros(len(data), bool)
     twice[1:] = sign[1:] & (data[1:] == data[:-1])
+    twice[offs[1:-1][offs[1:-1] < len(data)]] = False
     hits = of_words(hit)
     cols = [
         np.log1p(count), of_words(lexical), of_words(lexical) / per_word, of_words(strong), of_words(strong) / per_word, of_words(best > 0.7) / per_word,
