@@ -1,8 +1,9 @@
 """URL filters: rules indexed by their rarest literal token; only fetched rules run their regular expression.
 
-DataFrame functions only. The rules are a Python list and so of a stated size (``MAX_RULES``); the table's tokens are
-counted in one aggregate that is filtered to the rules' own tokens first, and the index becomes a literal map, so a URL's
-verdict needs no shuffle: its tokens fetch candidate rules from the map and each candidate's pattern is tried.
+DataFrame functions only. Up to ``MAX_RULES`` rules the table's tokens are counted in one aggregate that is filtered to the
+rules' own tokens first, and the index becomes a literal map, so a URL's verdict needs no shuffle: its tokens fetch
+candidate rules from the map and each candidate's pattern is tried. More rules are a table: URLs and rules meet by token
+in a join, to the same verdicts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
+#: Rules that are a literal of the plan at most.
 MAX_RULES = 20_000
 
 
@@ -72,18 +76,17 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
     A null URL, or one without ``://``, has empty host and path and gets the default verdict; so does a URL that no rule
     fits. Ids may be null or repeated; other columns are ignored; an empty table gives an empty result.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; the index is a literal of the plan")
-    spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     base = pages.select(F.col(id_col), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url")).select(id_col, host.alias("host"), path.alias("path"))
     if not rules:
         return base.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("n_candidates"))
+    ranked = sorted(range(len(rules)), key=lambda i: (-rules[i].weight, i))
+    if len(rules) > MAX_RULES:
+        return _by_table(base, [rules[i] for i in ranked], id_col, default)
     wanted = sorted({t for r in rules for t in r.tokens})
     # how many URLs hold each token of a rule: at most one row for each of the rules' tokens reaches the driver
     seen = dict(map(tuple, base.select(F.explode(_tokens()).alias("t")).where(F.col("t").isin(wanted)).groupBy("t").count().collect()))
     index: dict[str, list[int]] = {}
-    ranked = sorted(range(len(rules)), key=lambda i: (-rules[i].weight, i))
     for place, i in enumerate(ranked):
         index.setdefault(min(rules[i].tokens, key=lambda t: (seen.get(t, 0), t)), []).append(place)
     ordered = [rules[i] for i in ranked]
@@ -102,3 +105,21 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id"
         F.coalesce(F.when(F.col("hit").isNotNull(), at([r.verdict for r in ordered])), F.lit(default)).alias("verdict"),
         F.size("found").alias("n_candidates"),
     )
+
+
+def _by_table(base: DataFrame, ranked: Sequence[Rule], id_col: str, default: str) -> DataFrame:
+    """``filter_urls`` with the rules, in order of rank, as a table."""
+    spark, scratch = base.sparkSession, Scratch(base.sparkSession)
+    rows = scratch.write(base.withColumn("dk", F.monotonically_increasing_id()), "urls")
+    given = [(k, r.name if r.site else None, r.verdict, r.pattern, list(r.tokens)) for k, r in enumerate(ranked)]
+    rules = scratch.write(spark.createDataFrame(given, "place int, rule string, verdict string, pattern string, tokens array<string>"), "rules")
+    words = scratch.write(rows.select("dk", F.explode(_tokens()).alias("t")), "words")
+    own = rules.select("place", F.explode("tokens").alias("t"))
+    seen = words.join(own.select("t").distinct(), "t", "left_semi").groupBy("t").count()
+    rarest = own.join(seen, "t", "left").groupBy("place").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "t")).alias("m"))
+    index = scratch.write(rarest.select("place", F.col("m.t").alias("t")), "index")
+    found = words.join(index, "t").select("dk", "place").join(rules.select("place", "pattern"), "place")
+    tried = rows.select("dk", F.concat("host", "path").alias("full")).join(found, "dk")
+    hits = tried.groupBy("dk").agg(F.min(F.when(F.regexp_like("full", F.col("pattern")), F.col("place"))).alias("place"), F.count("*").cast("int").alias("n"))
+    out = rows.join(hits, "dk", "left").join(rules.select("place", "rule", "verdict"), "place", "left")
+    return out.select(id_col, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_candidates"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meridian.llm import e8
+from meridian.llm import e8, url_filters
 from meridian.llm import simhash as sim
 from meridian.llm.boosting import calibrated, fit_trees, isotonic
 from meridian.llm.decontaminate import contaminated
@@ -227,7 +227,9 @@ def test_embedding_dedup(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("most", [url_filters.MAX_RULES, 1])
+def test_url_filter(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "MAX_RULES", most)
     rules = [site_rule("allow", "org/"), site_rule("block", "example.org/es/"), word_rule("block", "spam")]
     urls = ["http://A.Example.ORG/es/1", "http://x.org/es/", "http://x.org", "http://spam.net/a", "no scheme", "", None, "http://notexample.org/es/1", "http://h.com/p?spam#x", "http://sorg/es/"]
     out = [(r.host, r.rule, r.verdict) for r in filter_urls(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string"), rules).orderBy("page_id").collect()]
