@@ -276,3 +276,39 @@ def test_classifiers_on_odd_rows(spark, docs, none, score, label):
     assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
     assert score(none, labels).count() == 0
     assert all(r.score is not None for r in score(docs, labels.where("false")).collect())
+
+
+def test_a_very_long_text(spark):
+    """A text of 1.3 MB beside a copy of its middle and an empty one, through every operator on whole texts."""
+    long = " ".join(f"w{i * 7919 % 60_013}" for i in range(200_000))
+    w = long.split(" ")
+    rows = [(1, long), (2, " ".join(w[90_000:90_100])), (3, None), (4, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    enc = Encoder(JSON)
+    ids = np.array([*enc.ids(long), 0], "<u4")
+    windows = Counter(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    windows.update(tuple(w[i : i + 35]) for i in range(90_000, 90_066))
+    gone = set()
+    for i in range(len(w) - 34):
+        if windows[tuple(w[i : i + 35])] > 1:
+            gone.update(range(i, i + 35))
+    cut = {r.doc_id: r for r in remove_repeated_windows(docs).collect()}
+    assert cut[1].n_removed == len(gone) > 100_000 and cut[2].n_removed == 100 and cut[4].n_removed == 0
+    counts = {r.doc_id: r for r in count_tokens(docs, JSON, RANKS).collect()}
+    assert counts[1].n_tokens == len(ids) - 1 and counts[1].n_bytes == len(long) and counts[1].over_limit and counts[3].n_tokens == 0
+    pieces = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in pack(docs, JSON, RANKS).collect() if r.doc_id == 1)
+    first = len(ids) % 2048 or 2048
+    assert pieces[0] == (0, 0, first, zlib.crc32(ids[:first].tobytes())) and pieces[1] == (1, first, 2048, zlib.crc32(ids[first : first + 2048].tobytes()))
+    assert sum(p[2] for p in pieces) == len(ids) and all(p[2] == 2048 for p in pieces[1:])
+    prints = {r.doc_id: r.fingerprint for r in sim.near_duplicates(docs).collect()}
+    assert prints[1] == f"{sim.fingerprint(long.encode()):016x}" and prints[3] == "0" * 16
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int").withColumn("toxic", F.col("quality"))
+    assert score_toxicity(docs, labels).count() == score_quality(docs, labels).count() == 4
+
+
+def test_ties_in_packing(spark):
+    docs = spark.createDataFrame([(i, "same words") for i in range(9)], "doc_id long, text string")
+    n = len(Encoder(JSON).ids("same words")) + 1
+    rows = pack(docs, JSON, RANKS, capacity=2 * n).collect()
+    assert Counter(Counter(r.sequence_id for r in rows).values()) == {2: 4, 1: 1} and {r.offset for r in rows} == {0, n}
+    assert sorted(r.length for r in pack(docs, JSON, RANKS, capacity=n).collect()) == [n] * 9
