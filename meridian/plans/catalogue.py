@@ -484,6 +484,16 @@ def inspection_tour(spark, d):
     return kernels.solve(_sites(spark, d, 7), "instance", lambda pdf: {"cost": round(kernels.tour(_distances(pdf))["cost"], 3)}, "cost double")
 
 
+@query("WITH " + _DIST.format(n=7) + """, b1 AS (SELECT instance, i, j, w FROM d UNION ALL SELECT instance, i, i, 0::DOUBLE FROM s),
+b2 AS (SELECT x.instance, x.i, y.j, min(greatest(x.w, y.w)) AS w FROM b1 x JOIN b1 y ON y.instance = x.instance AND y.i = x.j GROUP BY ALL),
+b4 AS (SELECT x.instance, x.i, y.j, min(greatest(x.w, y.w)) AS w FROM b2 x JOIN b2 y ON y.instance = x.instance AND y.i = x.j GROUP BY ALL),
+b8 AS (SELECT x.instance, x.i, y.j, min(greatest(x.w, y.w)) AS w FROM b4 x JOIN b4 y ON y.instance = x.instance AND y.i = x.j GROUP BY ALL)
+SELECT instance, round(coalesce(sum(d.w) FILTER (d.i < d.j AND d.w <= b8.w), 0), 3)::DOUBLE AS weight FROM b8 LEFT JOIN d USING (instance, i, j) GROUP BY instance""")
+def mst_weight(spark, d):
+    """A link belongs to the tree if no way round it has shorter links only, which is how the SQL finds it."""
+    return kernels.solve(_sites(spark, d, 7), "instance", lambda pdf: {"weight": round(kernels.spanning_tree(_distances(pdf))[0], 3)}, "weight double")
+
+
 @query()
 def inspection_tour_approx(spark, d):
     def kernel(pdf):
@@ -725,6 +735,19 @@ def incident_density(spark, d):
     return summary.density(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y")), 5.0)
 
 
+@query("""WITH RECURSIVE n AS (SELECT p.p_partkey AS id, p.p_size::DOUBLE AS x, p.p_retailprice AS y, count(*) AS n FROM part p JOIN part q ON (p.p_size - q.p_size) * (p.p_size - q.p_size)::DOUBLE + (p.p_retailprice - q.p_retailprice)::DOUBLE * (p.p_retailprice - q.p_retailprice)::DOUBLE <= 25.0 GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS k FROM n QUALIFY k <= 50),
+r(k, kept) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE, n BIGINT)[] UNION ALL
+SELECT r.k + 1, CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda p: (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) < 100.0)) = 0 THEN list_append(kept, {'id': o.id, 'x': o.x, 'y': o.y, 'n': o.n}) ELSE kept END FROM r JOIN o ON o.k = r.k + 1)
+SELECT u.p.id AS id, u.p.n AS n FROM (SELECT unnest(kept) AS p FROM (SELECT arg_max(kept, k) AS kept FROM r)) u""")
+def hot_spots(spark, d):
+    """Of the 50 densest places the first three that are 10 apart; the rest of the work is on that bounded list."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))
+    top = summary.density(part, 5.0).orderBy(F.desc("n"), "id").limit(50).join(part, "id").collect()
+    kept = summary.spaced_top([(r["n"], r["id"], r["x"], r["y"]) for r in top], 3, 10.0)
+    return spark.createDataFrame([(i, n) for n, i, _, _ in kept], "id long, n long")
+
+
 @query(_TRADE + """, c AS (SELECT quantile_cont(cap, [0.5, 0.85]) AS q FROM trade) SELECT a, b, (1 + (cap >= q[1])::INT + (cap >= q[2])::INT)::INT AS bin FROM trade, c""")
 def flow_bins(spark, d):
     return summary.quantile_bins(trade(spark, d), "cap", [0.0, 0.5, 0.85, 1.0]).select("a", "b", "bin")
