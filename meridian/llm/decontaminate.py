@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, words_each: int =
     # items whose windows hold too few literals are found by their raw tokens
     bare = every.where("as_name = 0").join(bench.select("item").distinct(), "item", "left_anti").withColumn("h", _raw_hash(words_each))
     bare = scratch.write(bare.select("item", F.col("at").alias("item_at"), "h", own), "bare")
-    sizes = bench.union(bare).groupBy("item").agg(F.countDistinct("item_at").alias("n_windows"))
+    sizes = scratch.write(bench.union(bare).groupBy("item").agg(F.countDistinct("item_at").alias("n_windows")), "sizes")
     hits = None
     for side, raw in ((bench, False), (bare, True)):
         rows = side.count()

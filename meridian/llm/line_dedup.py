@@ -73,11 +73,11 @@ def tag_lines(docs: DataFrame, scratch: Scratch, depth: int = 3, similarity: flo
     segments = scratch.write(_segments(spread, depth, similarity), "segments")
     merged = linked_groups(segments, lambda pairs: _alike(pairs, spread, similarity), scratch, fields)
     merged = scratch.write(merged.select(F.col("node").alias("tmpl"), "component"), "merged")
-    shared = digests.join(merged, "tmpl", "left").select("dk", "i", F.when(F.col("component").isNotNull(), F.xxhash64("component", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
+    shared = digests.join(merged.hint("shuffle_merge"), "tmpl", "left").select("dk", "i", F.when(F.col("component").isNotNull(), F.xxhash64("component", F.lit(FIELD))).otherwise(F.col("tmpl")).alias("tmpl"))
     shared = scratch.write(shared, "shared")  # read twice below
     recurring = shared.groupBy("tmpl").agg(F.min("dk").alias("keeper"), F.max("dk").alias("last")).where("last <> keeper").select("tmpl", "keeper")
     recurring = scratch.write(recurring, "recurring")  # a scan: a hot template's partition may be split in the join
-    return shared.join(recurring, "tmpl").where("dk <> keeper").select("dk", "i")
+    return shared.join(recurring.hint("shuffle_merge"), "tmpl").where("dk <> keeper").select("dk", "i")  # alike at every size, as above
 
 
 def _segments(spread: DataFrame, depth: int, similarity: float) -> DataFrame:
