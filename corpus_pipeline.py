@@ -75,7 +75,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = _numbered(docs, scratch)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("item"), "text")
     found = find_contamination(rows.where("text is not null").select("dk", "text"), bench, scratch=scratch)
-    return rows.join(found.select("dk").distinct(), "dk", "left_anti").select(*COLUMNS)
+    gone = scratch.write(found.select("dk").distinct(), "gone")  # a table of known size, before texts are moved for the join
+    return rows.join(gone, "dk", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
