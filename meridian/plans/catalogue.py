@@ -60,7 +60,7 @@ p AS (SELECT hour, sum(n - cap) OVER (ORDER BY hour) AS p FROM load, c),
 q AS (SELECT hour, p, coalesce(lag(p) OVER (ORDER BY hour), 0) AS q FROM p)
 SELECT round(max(p - low), 6)::DOUBLE AS excess FROM (SELECT p, min(q) OVER (ORDER BY hour) AS low FROM q)""")
 def worst_load_window(spark, d):
-    hours = hourly_load(spark, d)
+    hours = Rounds(spark).keep(hourly_load(spark, d))  # a row an hour, read for its quantile and for its sums
     capacity = hours.agg(F.expr("percentile(n, 0.65)").alias("capacity"))
     return load.max_subarray(hours.crossJoin(F.broadcast(capacity)), "hour", F.col("n") - F.col("capacity")).select(F.round("best", 6).alias("excess"))
 
@@ -711,7 +711,10 @@ def metric_closure(spark, d):
     return far.select("a", "b", F.when(F.col("dist") == float("inf"), -1.0).otherwise(F.round("dist", 4)).alias("dist"))
 
 
-@query()
+@query(_ADJ.replace("WITH l", "WITH RECURSIVE l").rstrip() + """, r(id, level, rank) USING KEY (id) AS (SELECT min(src), 0, 1::BIGINT FROM e UNION
+SELECT dst, level + 1, base + row_number() OVER (ORDER BY near, dst) FROM (SELECT e.dst, r.level, min(r.rank) AS near, (SELECT max(rank) FROM recurring.r) AS base FROM r JOIN e ON e.src = r.id
+LEFT JOIN recurring.r o ON o.id = e.dst WHERE o.id IS NULL GROUP BY e.dst, r.level))
+SELECT rank::INT AS rank, id FROM r WHERE rank <= 100""")
 def bfs_subgraph(spark, d):
     e = part_edges(spark, d)
     root = e.agg(F.min("src")).first()[0]
