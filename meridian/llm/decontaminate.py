@@ -4,7 +4,7 @@ Numbers (words, fractions and sums such as 2+3 too), names and units become type
 other parameters keeps its template. A capitalised word may be a name or not (it may just begin a sentence), so windows that hold
 one are looked up both ways, by the word and by a placeholder. Windows of ``words_each`` canonical tokens of benchmark and documents meet in a hash join; a
 document holds an item if at least ``similarity`` of the item's windows occur in it. Where windows hold placeholders, their
-slots must agree: within one alignment an item's value stands for one value of the document throughout, and values that
+slots must agree: within one alignment and reading an item's value stands for one value of the document throughout, and values that
 differ in the item differ in the document; an alignment that fails counts only by its windows without placeholders.
 
 Windows with fewer than ``LITERALS`` literal tokens (one, for an item of one token) fit anything and aren't looked up or
@@ -96,17 +96,17 @@ def _slots(n: int) -> Column:
 
 
 def _hits(docs: DataFrame, side: DataFrame, n: int, raw: bool, few: bool) -> DataFrame:
-    """(dk, item, item_at, shift, slots) of windows of ``n`` tokens that documents share with ``side``; ``few``: broadcast it."""
+    """(dk, item, item_at, shift, as_name, slots) of windows of ``n`` tokens that documents share with ``side``; ``few``: broadcast it."""
     cut = windows(tokens(docs, "dk"), "dk", n)
     if raw:
         met = cut.where("as_name = 0").withColumn("h", _raw_hash(n)).select("dk", "at", "h").join(F.broadcast(side) if few else side, "h")
-        return met.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.expr("cast(array() as array<struct<a: string, b: string>>)").alias("slots"))
+        return met.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.lit(0).alias("as_name"), F.expr("cast(array() as array<struct<a: string, b: string>>)").alias("slots"))
     if few:
         met = cut.join(F.broadcast(side), "h")
     else:
         found = cut.select("dk", "at", "as_name", "h").join(side, "h").groupBy("dk").agg(F.collect_list(F.struct("at", "as_name", "item", "item_at", "item_raw")).alias("found"))
         met = tokens(docs.join(found.select("dk"), "dk", "left_semi"), "dk").join(found, "dk").select("dk", "raw", "canon", "named", F.explode("found").alias("f")).select("dk", "raw", "canon", "named", "f.*")
-    return met.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), _slots(n).alias("slots"))
+    return met.select("dk", "item", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "as_name", _slots(n).alias("slots"))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, words_each: int = 5, similarity: float = 0.8, scratch: Scratch | None = None) -> DataFrame:
@@ -136,10 +136,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, words_each: int =
             found = _hits(docs, side if n == words_each else side.where(F.size("item_raw") == n), n, raw, rows <= BROADCAST_WINDOWS)
             hits = found if hits is None else hits.unionByName(found)
     hits = scratch.write(hits.distinct(), "hits")
-    # slots of one alignment: as many values on either side as pairs of values
-    pairs = hits.select("dk", "item", "shift", F.explode("slots").alias("s")).distinct()
-    agreed = pairs.groupBy("dk", "item", "shift").agg((F.greatest(F.count("*") - F.countDistinct("s.a"), F.count("*") - F.countDistinct("s.b")) == 0).alias("agrees"))
-    judged = hits.join(agreed, ["dk", "item", "shift"], "left").withColumn("ok", (F.size("slots") == 0) | F.coalesce("agrees", F.lit(True)))
+    # slots of one alignment and reading: as many values on either side as pairs of values
+    pairs = hits.select("dk", "item", "shift", "as_name", F.explode("slots").alias("s")).distinct()
+    agreed = pairs.groupBy("dk", "item", "shift", "as_name").agg((F.greatest(F.count("*") - F.countDistinct("s.a"), F.count("*") - F.countDistinct("s.b")) == 0).alias("agrees"))
+    judged = hits.join(agreed, ["dk", "item", "shift", "as_name"], "left").withColumn("ok", (F.size("slots") == 0) | F.coalesce("agrees", F.lit(True)))
     found = judged.groupBy("dk", "item").agg(F.countDistinct(F.when(F.col("ok"), F.col("item_at"))).alias("matched"), F.min("ok").alias("consistent"))
     return found.join(sizes, "item").where(F.col("matched") >= similarity * F.col("n_windows")).select("dk", "item", "matched", "n_windows", "consistent")
 
