@@ -101,7 +101,8 @@ def _most(size: str, similarity: float) -> Column:
 def _alike(pairs: DataFrame, spread: DataFrame, similarity: float) -> DataFrame:
     u, v = spread.select(F.col("tmpl").alias("u"), F.col("t").alias("a"), "size"), spread.select(F.col("tmpl").alias("v"), F.col("t").alias("b"), F.col("size").alias("other"))
     differ = F.size(F.filter(F.zip_with("a", "b", lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
-    return pairs.join(u, "u").join(v, "v").where((F.col("size") == F.col("other")) & (differ <= _most("size", similarity))).select("u", "v")
+    # alike at every size: a small table of pairs would be broadcast and a larger one wouldn't
+    return pairs.join(u.hint("shuffle_merge"), "u").join(v.hint("shuffle_merge"), "v").where((F.col("size") == F.col("other")) & (differ <= _most("size", similarity))).select("u", "v")
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
