@@ -15,31 +15,31 @@ from .rounds import Rounds
 SNAP = 6
 
 
-def _pieces(segments: DataFrame, cell: float) -> DataFrame:
+def _pieces(segments: DataFrame, wide: float, high: float) -> DataFrame:
     """``segments`` once for each grid cell that their line may pass: in every column of cells the rows that it spans there."""
-    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    low, top = F.least("x1", "x2"), F.greatest("x1", "x2")
     slope = F.when(F.col("x1") != F.col("x2"), (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
-    cut = segments.withColumn("cx", F.explode(F.sequence(F.floor(low / cell), F.floor(high / cell))))
+    cut = segments.withColumn("cx", F.explode(F.sequence(F.floor(low / wide), F.floor(top / wide))))
     at = lambda x: F.col("y1") + slope * (x - F.col("x1"))
-    left, right = at(F.greatest(low, F.col("cx") * cell)), at(F.least(high, (F.col("cx") + 1) * cell))
+    left, right = at(F.greatest(low, F.col("cx") * wide)), at(F.least(top, (F.col("cx") + 1) * wide))
     a, b = F.coalesce(left, F.col("y1")), F.coalesce(right, F.col("y2"))
     margin = 1e-6
-    return cut.withColumn("cy", F.explode(F.sequence(F.floor((F.least(a, b) - margin) / cell), F.floor((F.greatest(a, b) + margin) / cell))))
+    return cut.withColumn("cy", F.explode(F.sequence(F.floor((F.least(a, b) - margin) / high), F.floor((F.greatest(a, b) + margin) / high))))
 
 
-def crossings(segments: DataFrame, cell: float | None = None) -> DataFrame:
+def crossings(segments: DataFrame, cell: tuple[float, float] | None = None) -> DataFrame:
     """(a, b, x, y): pairs a < b of intersecting segments(id, g, x1, y1, x2, y2) of different g, and where they meet.
 
     Coordinates are snapped to a 1e-6 grid. Parallel segments that touch meet at an end that both have. Segments meet in
-    the grid cells that their lines pass, whose side is twice the mean extent unless ``cell`` is given, so that a segment
-    passes a few cells however the data is scaled.
+    the grid cells that their lines pass; a cell's sides are twice the mean extents along either axis unless ``cell`` is
+    given, so that a segment passes a few cells however either axis is scaled.
     """
     ends = ["x1", "y1", "x2", "y2"]
     rows = segments.select("id", "g", *[F.round(c, SNAP).alias(c) for c in ends])
     if cell is None:
-        wide = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-        cell = 2 * (rows.agg(F.avg(wide)).first()[0] or 0) or 1.0
-    cut = _pieces(rows, cell)
+        wide, high = (2 * (x or 0) for x in rows.agg(F.avg(F.abs(F.col("x2") - F.col("x1"))), F.avg(F.abs(F.col("y2") - F.col("y1")))).first())
+        cell = wide or high or 1.0, high or wide or 1.0
+    cut = _pieces(rows, *cell)
     side = lambda p: cut.select(*[F.col(c).alias(p + c) for c in ("id", "g", *ends)], "cx", "cy")
     of = lambda p: [F.col(p + c) for c in ends]
     met = side("a_").join(side("b_"), ["cx", "cy"]).where("a_id < b_id and a_g <> b_g").where(g.segments_intersect(of("a_"), of("b_"))).drop("cx", "cy").distinct()

@@ -131,7 +131,7 @@ def test_crossings(spark):
 
     want = {(s[0], t[0]) for s in segs for t in segs if s[0] < t[0] and s[1] != t[1] and meet(s, t)}
     rows = table(spark, segs, "id int, g int, x1 double, y1 double, x2 double, y2 double")
-    for cell in (None, 0.7, 50.0):
+    for cell in (None, (0.7, 1.9), (50.0, 0.5)):
         got = spatial.crossings(rows, cell).collect()
         assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
     at = {(r.a, r.b): (r.x, r.y) for r in got}
