@@ -24,7 +24,7 @@ SIGN = ~(LETTER | DIGIT | WHITE)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text handled at once; a longer single document is a piece of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
