@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text
-from ..operators import allocate, graph, kernels, load, ordered, reports, spatial, summary
+from ..operators import allocate, discs, graph, kernels, load, ordered, reports, spatial, summary
 from ..operators.rounds import Rounds
 from ..sources import roads
 from ..sources.tables import table
@@ -746,7 +746,8 @@ SELECT u.p.id AS id, u.p.n AS n FROM (SELECT unnest(kept) AS p FROM (SELECT arg_
 def hot_spots(spark, d):
     """Of the 50 densest places the first three that are 10 apart; the rest of the work is on that bounded list."""
     part = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y"))
-    top = summary.density(part, 5.0).orderBy(F.desc("n"), "id").limit(50).join(part, "id").collect()
+    dense = part.join(discs.place_density(part, 5.0), ["x", "y"]).groupBy("id", "x", "y").agg(F.sum("n").alias("n"))
+    top = dense.orderBy(F.desc("n"), "id").limit(50).collect()
     kept = summary.spaced_top([(r["n"], r["id"], r["x"], r["y"]) for r in top], 3, 10.0)
     return spark.createDataFrame([(i, n) for n, i, _, _ in kept], "id long, n long")
 
