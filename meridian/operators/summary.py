@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .discs import place_density
+
 
 def within_radius(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     """(a, b, dist): rows of a(id, x, y) and b(id, x, y) at most ``radius`` apart; b visits its cell's nine neighbours, a its own."""
@@ -42,8 +44,9 @@ def medians(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def density(points: DataFrame, radius: float) -> DataFrame:
-    """(id, n): how many points lie within the radius of each, itself included."""
-    return within_radius(points, points, radius).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    """(id, n): how many points lie within the radius of each, itself included; points of the same id are added up."""
+    rows = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return rows.join(place_density(rows, radius), ["x", "y"]).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def quantile_bins(df: DataFrame, value: str, at: list[float]) -> DataFrame:

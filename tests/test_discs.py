@@ -71,3 +71,14 @@ def test_hot_spots_of_many_copies(spark, tmp_path):
     best = max(counts.values())
     got = [tuple(r) for r in catalogue.QUERIES["hot_spots"](spark, str(tmp_path)).collect()]
     assert got == [(min(i for i in range(35) if counts[i % 5, 900 + (i % 7) * 1.5] == best), best)]
+
+
+def test_incident_density_of_odd_parts(spark, tmp_path):
+    _against_sql(spark, "incident_density", tmp_path)
+
+
+def test_incident_density_of_many_copies(spark, tmp_path):
+    counts = _many_copies(spark, tmp_path)
+    got = catalogue.QUERIES["incident_density"](spark, str(tmp_path)).collect()
+    assert len(got) == 300_000
+    assert all(r["n"] == counts[r["id"] % 5, 900 + (r["id"] % 7) * 1.5] for r in got)
