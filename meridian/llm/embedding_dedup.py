@@ -80,7 +80,7 @@ def _cells(tables: int, blocks: int, probes: int, scale: float):
     return run
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, tables: int):
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         work = table["work"].to_numpy()
         table = table.combine_chunks()
@@ -92,7 +92,7 @@ def _compare(threshold: float):
             part = table.slice(lo, hi - lo)
             cid, n, side = part["cid"].to_numpy(), part["n"].to_numpy(), part["side"].to_numpy()
             x, cell = _matrix(part["vec"].combine_chunks()), part["cell"].to_numpy()[0]
-            cells = part["cells"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cid), -1)
+            cells = part["cells"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cid), tables, -1)
             left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(cid)),) * 2
             links, parent = np.zeros(len(cid), np.int64), np.arange(len(cid))
             for a in range(0, len(left), 512):
@@ -103,8 +103,8 @@ def _compare(threshold: float):
                     i, j = i[i < j], j[i < j]
                 for k in range(0, len(i), 1 << 14):
                     p, q = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                    both = cells[p][:, :, None] == cells[q][:, None, :]
-                    least = np.where(both.any(axis=2), cells[p], np.iinfo(np.int64).max).min(axis=1)
+                    both = cells[p][:, :, :, None] == cells[q][:, :, None, :]
+                    least = np.where(both.any(axis=3), cells[p], np.iinfo(np.int64).max).min(axis=(1, 2))
                     p, q = p[least == cell], q[least == cell]
                     np.add.at(links, p, n[q])
                     np.add.at(links, q, n[p])
@@ -169,7 +169,7 @@ def near_duplicate_vectors(
     pieces = placed.select("cid", "cell", work.alias("work"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     full = pieces.join(classes.select("cid", "n", "vec"), "cid").join(cells, "cid").select("cid", "n", "vec", "cells", "cell", "work", "side")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, rows // PART_ROWS))
-    met = scratch.write(full.repartition(parts, "work").sortWithinPartitions("work").mapInArrow(_compare(threshold), "u long, v long, links long"), "met")
+    met = scratch.write(full.repartition(parts, "work").sortWithinPartitions("work").mapInArrow(_compare(threshold, tables), "u long, v long, links long"), "met")
     groups = connected_components(met.select("u", "v"), scratch)
     links = met.groupBy("u").agg(F.sum("links").alias("links"))
     member = classes.select("cid", "k1", "k2", "n", "least").join(groups.withColumnRenamed("node", "cid"), "cid", "left").join(links.withColumnRenamed("u", "cid"), "cid", "left")
